@@ -3,7 +3,8 @@
 The documents of a partition, in their order, form one stream of ids (each document ends with one
 separator id). The stream is cut into windows of at most `size` ids. A window costs its padding; a cut
 costs nothing between documents, `sentence_cost` after an id that ends a sentence, and `hard_cost`
-elsewhere (only inside sentences longer than a window). With candidate cuts c0 < c1 < ... the least cost
+elsewhere (exactly one window after a natural cut, and at steps inside sentences longer than half a
+window). With candidate cuts c0 < c1 < ... the least cost
 is f(j) = cost(j) + size - c_j + min(f(i) + c_i) over c_j - size <= c_i < c_j, a sliding minimum that a
 monotone queue gives in constant time for each candidate.
 
@@ -85,10 +86,11 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: in
     """Cut positions from 0 to len(ids) and the cost of each."""
     inner = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
     at = np.union1d(np.union1d(inner, doc_ends), [0, len(ids)])
-    gap = np.diff(at)
-    long = np.flatnonzero(gap > size)
-    if len(long):  # sentences longer than a window: also every `size` ids from their start, and every half
-        at = np.union1d(at, np.concatenate([np.arange(at[k], at[k + 1], size // 2) for k in long]))
+    full = at + size
+    at = np.union1d(at, full[full < len(ids)])
+    long = np.flatnonzero(np.diff(at) > size // 2)
+    if len(long):  # steps inside long sentences
+        at = np.union1d(at, np.concatenate([np.arange(at[k], at[k + 1], max(size // 16, 1)) for k in long]))
     cost = np.full(len(at), hard_cost)
     cost[np.isin(at, inner)] = sentence_cost
     cost[np.isin(at, doc_ends)] = 0
@@ -136,7 +138,7 @@ def pack(docs: Iterator[tuple], ends: np.ndarray, size: int, sentence_cost: int,
         yield from flush(True)
 
 
-def pack_documents(df: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, size: int = 1024, separator: int = 0, sentence_cost: int = 8, hard_cost: int = 64, block: int = 1 << 20, order_by: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, size: int = 1024, separator: int = 0, sentence_cost: int = 4, hard_cost: int = 16, block: int = 1 << 20, order_by: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; with_ids adds the piece's ids. sequence_id is unique over partitions."""
     if order_by:
         df = df.repartitionByRange(order_by).sortWithinPartitions(order_by)
