@@ -5,16 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import bpe, packing, sharding, tiff, token_counts
+from lithoframe.llm import bpe, packing, quality, sharding, simhash, tiff, token_counts
 from lithoframe.llm.common import documents
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_table(documents(spark, sf_dir), words=3, radius=3)
+
+
 def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
@@ -32,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_media_tiff, op6_byte_bpe, op7_sharding, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_media_tiff, op5_quality, op6_byte_bpe, op7_sharding, op8_token_counts, op10_packing)}
 ORACLES: dict[str, str] = {}
