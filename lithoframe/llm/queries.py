@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import bpe, packing, quality, sharding, simhash, tiff, token_counts
+from lithoframe.llm import bpe, packing, quality, secrets, sharding, simhash, tiff, token_counts
 from lithoframe.llm.common import documents
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -35,10 +35,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_table(documents(spark, sf_dir), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_table(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = public_tokenizers
     return packing.pack_documents(documents(spark, sf_dir), p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_media_tiff, op5_quality, op6_byte_bpe, op7_sharding, op8_token_counts, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_media_tiff, op5_quality, op6_byte_bpe, op7_sharding, op8_token_counts, op9_secrets, op10_packing)}
+ORACLES: dict[str, str] = {"op9_secrets": secrets.ORACLE_SQL}
