@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -76,3 +77,12 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and read it back (columnar and compressed)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
