@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import bpe, packing, quality, repeats, secrets, sharding, simhash, tiff, token_counts
+from lithoframe.llm import bpe, licenses, packing, quality, repeats, secrets, sharding, simhash, tiff, token_counts
 from lithoframe.llm.common import documents
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_table(licenses.document_paths(documents(spark, sf_dir)))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_table(documents(spark, sf_dir), length=400)
 
@@ -48,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_media_tiff, op5_quality, op6_byte_bpe, op7_sharding, op8_token_counts, op9_secrets, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_suffix_dedup, op3_simhash, op4_media_tiff, op5_quality, op6_byte_bpe, op7_sharding, op8_token_counts, op9_secrets, op10_packing)}
 ORACLES: dict[str, str] = {"op9_secrets": secrets.ORACLE_SQL}
