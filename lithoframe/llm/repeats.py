@@ -320,8 +320,9 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, largest: int) -> tup
     """docs (sha, raw) -> texts with a repeated sample (sha, raw, ...), and (sha, spans) of what repeats."""
     spark = docs.sparkSession
     found = stored(sample_texts(docs, length, gram))
-    often = found.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    hits = found.join(often.select("h"), "h", "left_semi").groupBy("sha").agg(F.collect_set(F.struct("h", "place")).alias("hits"))
+    # cut, so that both sides of the join are shuffled anew and Spark can split a hot sample's rows
+    often = cut(found.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    hits = found.join(often, "h", "left_semi").groupBy("sha").agg(F.collect_set(F.struct("h", "place")).alias("hits"))
     texts = docs.groupBy("sha").agg(F.first("raw").alias("raw"), F.count("*").alias("n"))
     held = stored(texts.join(hits, "sha").select("sha", "raw", "n", "hits"))
     number = held.agg(F.sum(F.size("hits"))).first()[0] or 0
