@@ -65,10 +65,11 @@ def automatic(requests: DataFrame, parsers: DataFrame) -> DataFrame:
 
     parsers is a dimension of a few rows; candidates are exploded with their place and the first usable wins.
     """
-    c = requests.withColumn("plan", plan(F.col("ext"), F.col("quality_first"), F.col("libreoffice"))).select("*", F.posexplode("plan").alias("ord", "parser_id"))
+    c = requests.withColumn("plan", plan(F.col("ext"), F.col("quality_first"), F.col("libreoffice"))).select("request_id", "ext", "allow_cloud", "plan", F.posexplode("plan").alias("ord", "parser_id"))
     j = c.join(F.broadcast(parsers), "parser_id", "left")  # a dimension: one row per parser
     why = F.when(F.col("requires_network") & ~F.col("allow_cloud"), "cloud forbidden").when(~supports(F.col("formats"), F.col("ext"), F.col("parser_id")), "format not supported").when(~F.col("available"), F.coalesce("reason", F.lit("unavailable")))
     j = j.withColumn("why", F.when(F.col("available").isNull(), "unknown parser").otherwise(why))
+    j = j.select("request_id", "ext", "plan", "ord", "parser_id", "why")
     usable = F.array_sort(F.collect_list(F.when(F.col("why").isNull(), F.struct("ord", "parser_id"))))
     no = F.array_sort(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("ord", "parser_id", "why"))))
     g = j.groupBy("request_id", "ext", "plan").agg(usable.alias("u"), no.alias("no"))

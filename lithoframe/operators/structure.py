@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithoframe.functions.exprs import expand_marker, heading_text, markers, numbered_level, strip
+from lithoframe.functions.session import materialized
 from lithoframe.operators.content import text
 from lithoframe.operators.model import INFERRED, INFO, MANUAL, UNAVAILABLE, VERIFIED, WARNING, Facts, Result, issue, observe, union
 
@@ -55,7 +56,7 @@ def heading_tree(blocks: DataFrame) -> DataFrame:
     root = F.col("rebuild") & F.col("first")
     h = h.withColumn("level", F.when(F.col("rebuild"), F.coalesce(numbered, level, F.when(root, F.lit(1)))).otherwise(F.coalesce(level, numbered)))
     h = h.withColumn("level_source", F.when(F.col("rebuild"), F.when(numbered.isNotNull(), "numbering").when(level.isNotNull(), "parser_level_fallback").otherwise("document_root")).otherwise(F.when(level.isNotNull(), "parser_level").otherwise("numbering")))
-    h = h.withColumn("depth", F.least("level", F.lit(DEEPEST)))
+    h = h.withColumn("depth", F.when(F.col("level").isNotNull(), F.least("level", F.lit(DEEPEST))))
     before = doc.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("depth") <= k, F.struct("rn", "block_id", "level", "order_index", "source_block_id"))).over(before) for k in range(1, DEEPEST)]
     h = h.withColumn("parent", F.when(F.col("depth") > 1, F.get(F.array(*last), F.col("depth") - 2)))
@@ -64,7 +65,7 @@ def heading_tree(blocks: DataFrame) -> DataFrame:
 
 
 def build_tree(f: Facts) -> Result:
-    h = heading_tree(f.blocks).join(order_conflicts(f.blocks).withColumn("conflict", F.lit(True)), "doc_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    h = materialized(heading_tree(f.blocks).join(order_conflicts(f.blocks).withColumn("conflict", F.lit(True)), "doc_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False))))
     t = F.substring("title", 1, 30)
     per_doc = h.groupBy("doc_id").agg(F.array_sort(F.collect_list("block_id")).alias("blocks"), F.first("rebuild").alias("rebuild"), F.first("conflict").alias("conflict"))
     # documents in conflict without any heading have the conflict too
@@ -94,7 +95,7 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     doc = Window.partitionBy("doc_id")
     b = ordered(blocks).withColumn("title", F.when(F.col("kind") == "heading", heading_text(F.col("text"), F.col("markdown"))))
     upto = doc.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    lvl = F.least(F.col("heading_level"), F.lit(DEEPEST))
+    lvl = F.when(F.col("heading_level").isNotNull(), F.least(F.col("heading_level"), F.lit(DEEPEST)))
     for k in range(1, DEEPEST + 1):
         b = b.withColumn(f"l{k}", F.max(F.when(F.col("title").isNotNull() & (lvl == k), F.struct("rn", "title"))).over(upto)).withColumn(f"c{k}", F.max(F.when(F.col("title").isNotNull() & (lvl < k), F.col("rn"))).over(upto))
     keep = F.array_compact(F.array(*[F.when(F.col(f"l{k}.rn") > F.coalesce(f"c{k}", F.lit(0)), F.col(f"l{k}.title")) for k in range(1, DEEPEST + 1)]))
@@ -158,8 +159,8 @@ def bound_citations(rb: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bind_citations(f: Facts) -> Result:
-    rb = reference_blocks(f.blocks)
-    per, bound = bound_citations(rb)
+    rb = materialized(reference_blocks(f.blocks))
+    per, bound = (materialized(x) for x in bound_citations(rb))
     conflict = order_conflicts(f.blocks)
     i = union(
         issue(conflict, "QL-REF-004", WARNING, "reading_order_conflict", F.lit("citations are bound in an uncertain order")),

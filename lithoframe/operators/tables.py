@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithoframe.functions.exprs import blank, escape_cell, strip
+from lithoframe.functions.session import materialized
 from lithoframe.operators.content import text
 from lithoframe.operators.model import INFERRED, MANUAL, VERIFIED, WARNING, Facts, Result, issue, observe, union
 from lithoframe.operators.structure import order_conflicts
@@ -66,22 +67,23 @@ def grid_analysis(tables: DataFrame, cells: DataFrame, grid: DataFrame) -> DataF
     below = _prefix(F.transform("by_row", lambda x: prose(x) & ~F.coalesce(x["head"], F.lit(False))), F.col("n_marked"))
     anchored = F.coalesce(F.get("by_row", F.col("n_title"))["span"], F.lit(False))
     spanned = _prefix(F.transform("by_row", lambda x: F.coalesce(x["span"], F.lit(False)) | prose(x)), F.col("n_title"))
-    given = F.coalesce(F.col("header_rows") > 0, F.lit(False))
-    has_marks = F.size("marked") > 0
+    some = F.col("n_cells").isNotNull()  # a table without cells has nothing but that defect
+    given = some & F.coalesce(F.col("header_rows") > 0, F.lit(False))
+    has_marks = F.coalesce(F.size("marked") > 0, F.lit(False))
     run = lambda a, n: F.when(n > 0, F.sequence(a, a + n - 1)).otherwise(F.array().cast("array<int>"))
     zero = F.lit(0)
     t = t.withColumns({
         "n_below": F.when((F.col("n_marked") > 0) & first_wide, below).otherwise(0),
         "n_spanned": F.when(anchored, F.greatest(spanned, F.lit(1))).otherwise(0),
     })
-    guessed = F.when(F.col("n_spanned") > 0, run(F.col("n_title"), F.col("n_spanned"))).when(F.col("header_rows").isNull() & (F.col("rows") > 0), F.array(zero)).otherwise(F.array().cast("array<int>"))
+    guessed = F.when(F.col("n_spanned") > 0, run(F.col("n_title"), F.col("n_spanned"))).when(some & F.col("header_rows").isNull() & (F.col("rows") > 0), F.array(zero)).otherwise(F.array().cast("array<int>"))
     t = t.withColumns({
         "too_many": given & (F.col("header_rows") > F.col("rows")),
         "ragged": ~given & has_marks & ((F.get("marked", zero) != 0) | (F.col("n_marked") != F.size("marked"))),
         "heads": F.when(given, F.when(F.col("header_rows") > F.col("rows"), F.array().cast("array<int>")).otherwise(run(zero, F.col("header_rows")))).when(has_marks, run(zero, F.col("n_marked") + F.col("n_below"))).otherwise(guessed),
         "titles": F.when(given | has_marks, F.array().cast("array<int>")).otherwise(run(zero, F.col("n_title"))),
     })
-    t = t.withColumn("inferred", (~given & ~has_marks & (F.size("heads") > 0)) | F.coalesce(F.col("structure_source") == "markdown_pipe_table", F.lit(False)))
+    t = t.withColumn("inferred", some & ((~given & ~has_marks & (F.size("heads") > 0)) | F.coalesce(F.col("structure_source") == "markdown_pipe_table", F.lit(False))))
     heads = t.select(*KEY, "rows", "cols", "heads", F.greatest(F.coalesce(F.array_max("heads"), zero), zero).alias("last"))
     tall = cells.filter("row_span > 1").join(heads, KEY).filter(F.expr("array_contains(heads, start_row)") & F.col("start_col").between(0, F.col("cols") - 1)).groupBy(*KEY).agg(F.array_sort(F.collect_set("start_col")).alias("tall"))
     covered = s.join(heads, KEY).filter("r > last and r < rows and c >= 0 and c < cols").groupBy(*KEY).agg(F.count("*").alias("n_covered"))
@@ -104,7 +106,7 @@ def grid_analysis(tables: DataFrame, cells: DataFrame, grid: DataFrame) -> DataF
 def analysis(f: Facts) -> DataFrame:
     """The grid analysis of the facts, made once."""
     if "grid" not in f.cache:
-        f.cache["grid"] = grid_analysis(f.tables, f.cells, f.grid).persist()
+        f.cache["grid"] = materialized(grid_analysis(f.tables, f.cells, f.grid))
     return f.cache["grid"]
 
 
@@ -196,7 +198,7 @@ def binding_rule(f: Facts) -> Result:
     a = analysis(f)
     d = row_keys(a.filter(~external(a)), f.cells).filter("repeated").groupBy(*KEY).agg(F.array_sort(F.collect_set("row_key")).alias("keys")).join(f.tables.select(*KEY, "block_id"), KEY)
     i = union(grid_issues(a.filter("not valid")), issue(d, "QL-TBL-005", WARNING, "table_field_binding", text("row keys repeat: ", F.array_join("keys", ", ")), F.array("block_id"), MANUAL))
-    b = bindings(f)
+    b = materialized(bindings(f))
     s = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("state") == VERIFIED).alias("v"), F.bool_or(F.col("state") == MANUAL).alias("m"))
     refs = a.groupBy("doc_id").agg(F.array_sort(F.collect_set(text(F.col("table_id"), ".cells"))).alias("refs"))
     o = observe(s.join(refs, "doc_id"), "table_field_binding_reliable", F.when(F.col("m"), MANUAL).when(F.col("v") == F.col("n"), VERIFIED).otherwise(INFERRED), F.col("refs"))
@@ -284,8 +286,15 @@ def adjacent_pairs(f: Facts) -> DataFrame:
     return t.filter(F.col("hint") | F.col("exact") | (F.size(F.array_intersect("a.headers", "b.headers")) >= 2))
 
 
+def pairs(f: Facts) -> DataFrame:
+    """The adjacent pairs of the facts, made once."""
+    if "pairs" not in f.cache:
+        f.cache["pairs"] = materialized(adjacent_pairs(f))
+    return f.cache["pairs"]
+
+
 def continuation(f: Facts) -> Result:
-    p = adjacent_pairs(f).filter("same_cols").join(order_conflicts(f.blocks).withColumn("conflict", F.lit(True)), "doc_id", "left")
+    p = pairs(f).filter("same_cols").join(order_conflicts(f.blocks).withColumn("conflict", F.lit(True)), "doc_id", "left")
     sourced = (F.coalesce("a.source_block_id", F.lit("")) != "") & (F.coalesce("b.source_block_id", F.lit("")) != "")
     sure = F.col("exact") & (F.col("hint") | (F.col("a.boxed") & F.col("b.boxed"))) & ~F.coalesce("drift", F.lit(False)) & F.col("conflict").isNull() & sourced
     p = p.withColumn("state", F.when(sure, VERIFIED).otherwise(MANUAL))
@@ -296,7 +305,7 @@ def continuation(f: Facts) -> Result:
 
 
 def column_drift(f: Facts) -> Result:
-    p = adjacent_pairs(f)
+    p = pairs(f)
     why = F.array_compact(F.array(F.when(~F.col("same_cols"), "column_count").when(~F.col("exact"), "column_order_or_header"), F.when(F.col("drift"), "column_bbox")))
     p = p.withColumn("why", why)
     i = issue(p.filter(F.size("why") > 0), "QL-TBL-008", WARNING, "column_drift", text("columns drift from ", F.col("a.table_id"), " to ", F.col("b.table_id"), ": ", F.array_join("why", ", ")), F.array("a.block_id", "b.block_id"))

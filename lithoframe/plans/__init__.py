@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lithoframe.plans import decisions, rules
+
+MODULES = [rules, decisions]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
