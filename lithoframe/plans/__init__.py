@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import decisions, rules
+from lithoframe.plans import analytics, decisions, rules
 
-MODULES = [rules, decisions]
+MODULES = [rules, decisions, analytics]
 
 
 def queries() -> dict:
