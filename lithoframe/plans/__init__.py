@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import analytics, decisions, rules
+from lithoframe.plans import analytics, decisions, documents, rules
 
-MODULES = [rules, decisions, analytics]
+MODULES = [rules, decisions, analytics, documents]
 
 
 def queries() -> dict:
