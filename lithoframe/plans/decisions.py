@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoframe.functions.session import materialized
 from lithoframe.operators import gate, lifecycle, repairs, routing
 from lithoframe.operators.model import RANK, Facts
 from lithoframe.plans.rules import BAD_BOX, EMPTY, TEXT_SQL
@@ -16,6 +17,7 @@ CORE = ("QL-CONT-001", "QL-CONT-002", "QL-CONT-003", "QL-CONT-004", "QL-PROV-001
 
 def core(spark: SparkSession, sf_dir: str) -> tuple[Facts, dict[str, DataFrame]]:
     f = text_facts(spark, sf_dir)
+    f.blocks = materialized(f.blocks)  # every rule reads them
     return f, gate.run_quality(f, {r: gate.RULES[r] for r in CORE})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lithoframe.functions.session import materialized
 from lithoframe.operators.model import Facts
 
 
@@ -118,7 +119,7 @@ def table_facts(spark: SparkSession, sf_dir: str) -> Facts:
     blocks = t.select("doc_id", "block_id", F.when(F.col("table_id").cast("long") % 10 != 0, F.concat(F.lit("s"), "block_id")).alias("source_block_id"), F.col("page_number").alias("order_index"), F.lit("table").alias("kind"), F.when(F.col("table_id").cast("long") % 13 == 0, "table (continued)").otherwise("table").alias("text"))
     d = o.select(F.col("cust").cast("string").alias("doc_id")).distinct().withColumn("markdown", F.lit("x"))
     caps = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.lit("available").alias("state"), F.lit(None).cast("string").alias("reason")) for x in ("page_bbox", "table_cells")])).alias("c")).select("doc_id", "c.*")
-    return Facts(d, blocks, t, cells, capabilities=caps)
+    return Facts(d, blocks, materialized(t), materialized(cells), capabilities=caps)
 
 
 TABLE_SQL = """li AS (SELECT l_orderkey AS k, o_custkey AS cust, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS r, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
