@@ -318,6 +318,8 @@ def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 16
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, largest: int) -> tuple[DataFrame, DataFrame]:
     """docs (sha, raw) -> texts with a repeated sample (sha, raw, ...), and (sha, spans) of what repeats."""
+    if not 0 < gram <= length or length - gram > 1023:
+        raise ValueError("gram: from length - 1023 to length")
     spark = docs.sparkSession
     found = stored(sample_texts(docs, length, gram))
     # cut, so that both sides of the join are shuffled anew and Spark can split a hot sample's rows
