@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import cut, tasks
+from lithoframe.llm.common import cut, stored, tasks
 
 
 def fingerprint(text: str | None, words: int, seed: int) -> int:
@@ -178,9 +178,155 @@ def fingerprint_table(df: DataFrame, **options) -> DataFrame:
     return near_duplicates(df, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 5, radius: int = 3, blocks: int = 4) -> DataFrame:
+# ---- near-duplicates by similarity of word shingles: several short fingerprints
+
+STREAMS = 5
+MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+#: fixed values: of 320 bits, pairs differing in at most SURE are similar beyond doubt, those over DOUBTFUL are not
+SURE, DOUBTFUL, CHECK = 28, 66, 22
+
+
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The different shingles of a text, hashed."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    parts = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(p, seed) for p in parts], np.uint64))
+
+
+def signature(h: np.ndarray) -> bytes:
+    """320 bits: one SimHash of 64 bits for each of five mixings of the shingles' hashes."""
+    out = []
+    for j in range(STREAMS):
+        v = h + np.uint64((j * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        for m in MIX:
+            v = (v ^ (v >> np.uint64(33))) * np.uint64(m)
+        v ^= v >> np.uint64(33)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(v), 1 << 15):
+            part = v[i : i + (1 << 15)].astype(">u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h)).tobytes())
+    return b"".join(out)
+
+
+def nearest_tree(check: np.ndarray) -> list[tuple[int, int]]:
+    """For fingerprints that share a key: each but the first with the nearest one before it in the tree, if within CHECK bits."""
+    n = len(check)
+    if n == 2:
+        return [(0, 1)] if (int(check[0]) ^ int(check[1])).bit_count() <= CHECK else []
+    best, of = np.full(n, 65, np.int16), np.zeros(n, np.int64)
+    left = np.arange(n)
+    out, x = [], 0
+    left = left[1:]
+    while len(left):
+        d = np.bitwise_count(check[left] ^ check[x]).astype(np.int16)
+        nearer = d < best[left]
+        best[left[nearer]], of[left[nearer]] = d[nearer], x
+        k = int(best[left].argmin())
+        x = int(left[k])
+        if best[x] <= CHECK:
+            out.append((int(of[x]), x))
+        left = np.delete(left, k)
+    return out
+
+
+def candidate_pairs(nodes: DataFrame, rows: int, tables: int, bits: int) -> DataFrame:
+    """(a, b): different nodes (id, sig) that meet within two bits of one of `tables` short fingerprints.
+
+    Each short fingerprint emits itself and all variants at one bit, half the radius. Of a meeting group
+    a nearest-neighbour tree goes on, so its pairs grow with its size.
+    """
+
+    def emit(batches):
+        flips = np.array([0, *[1 << i for i in range(bits)]], np.uint64)
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            bit = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), STREAMS * 8), axis=1) if len(ids) else np.empty((0, STREAMS * 64), np.uint8)
+            check = np.packbits(bit[:, :64], axis=1).view(">u8").ravel().astype(np.int64) if len(ids) else np.empty(0, np.int64)
+            weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+            for t in range(tables):
+                v = (bit[:, 64 + t * bits : 64 + (t + 1) * bits].astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64)
+                keys = (v[:, None] ^ flips) | np.uint64(t << bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bits + 1)), pa.array(np.repeat(check, bits + 1))], names=["k", "id", "c"])
+
+    def meet(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not got:
+            return
+        k, i, c = (np.concatenate([g[j] for g in got]) for j in range(3))
+        order = np.argsort(k, kind="stable")
+        k, i, c = k[order], i[order], c[order].view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        sizes = np.diff(np.append(starts, len(k)))
+        two = starts[sizes == 2]
+        near = two[np.bitwise_count(c[two] ^ c[two + 1]) <= CHECK]
+        found = [np.stack([i[near], i[near + 1]], axis=1)]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            tree = nearest_tree(c[s : s + n])
+            if tree:
+                found.append(i[s:][np.array(tree)])
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    if 64 + tables * bits > STREAMS * 64:
+        raise ValueError("tables * bits: 256 at most")
+    n = tasks(nodes.sparkSession, rows * tables * (bits + 1), 2_000_000)
+    return nodes.select("id", "sig").mapInArrow(emit, "k long, id long, c long").repartition(n, "k").mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar_groups(df: DataFrame, words: int = 5, percent: int = 80, tables: int = 10, bits: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): groups of documents linked by a Jaccard similarity of word shingles of percent / 100 or more.
+
+    Candidates by short fingerprints; pairs whose long signatures leave no doubt are links, doubtful ones
+    are compared by their shingles, the rest are none. A pair at 80 % meets in one of ten tables with a
+    chance of 97 %. `bits` should exceed the binary logarithm of the number of documents by six or more.
+    """
+
+    def sign(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(shingle_hashes(t, words, seed)) for t in b.column(1).to_pylist()], pa.binary())], names=[id_col, "sig"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    signed = stored(df.select(id_col, text_col).mapInArrow(sign, f"{id_col} {kind}, sig binary").withColumn("id", F.xxhash64("sig")))
+    nodes = cut(signed.groupBy("id").agg(F.first("sig").alias("sig"), F.min(id_col).alias("first_id")))
+    pairs = candidate_pairs(nodes, nodes.count(), tables, bits)
+    sig = lambda x: nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("first_id").alias(f"id_{x}"))
+
+    def distance(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, STREAMS * 8) for k in (2, 3))
+            d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), b.column(4), b.column(5)], names=["a", "b", "d", "id_a", "id_b"])
+
+    judged = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b", "id_a", "id_b").mapInArrow(distance, f"a long, b long, d int, id_a {kind}, id_b {kind}")
+    judged = cut(judged.filter(F.col("d") <= DOUBTFUL))
+    doubtful = judged.filter(F.col("d") > SURE)
+
+    def shingles(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, words, seed).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["__id", "s"])
+
+    needed = doubtful.select(F.explode(F.array("id_a", "id_b")).alias("__n")).distinct()
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(needed, F.col("__id") == F.col("__n"), "left_semi")
+    sets = cut(texts.mapInArrow(shingles, f"__id {kind}, s array<bigint>").dropDuplicates(["__id"]))
+    side = lambda x: sets.select(F.col("__id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    close = doubtful.join(side("a"), "id_a").join(side("b"), "id_b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
+    edges = judged.filter(F.col("d") <= SURE).select("a", "b").unionByName(close.select("a", "b"))
+    roots = components(edges)
+    rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return signed.join(rooted.join(least, "root").select("id", "component_id"), "id").select(id_col, "component_id")
+
+
+def keep_one(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that of the smallest id, with all its columns. Rows without an id stay."""
-    near = cut(near_duplicates(df, words=words, radius=radius, blocks=blocks))
+    near = cut(similar_groups(df, words, percent))
     kept = near.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
     out = df.join(kept.select(F.col("doc_id").alias("__keep")), F.col("doc_id") == F.col("__keep"), "left_semi")
     if not kept.filter("__n > 1").isEmpty():  # repeated ids: one row of each

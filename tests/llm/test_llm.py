@@ -242,6 +242,42 @@ def test_keep_one(docs):
     assert len(kept[0]) == 5
 
 
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5, 42).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups(spark):
+    rows, want = [], {}
+    for g in range(60):
+        base = prose(rng.randrange(60, 300)).split()
+        rows.append((100 * g, " ".join(base)))
+        for k in range(1, 4):
+            w = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                w[rng.randrange(len(w))] = "changed" + str(rng.random())
+            rows.append((100 * g + k, " ".join(w)))
+    t = dict(rows)
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] // 100 == i // 100 for i in t)  # nothing foreign is joined
+    hit = miss = 0
+    for g in range(60):
+        ids = [100 * g + k for k in range(4)]
+        up = {i: i for i in ids}
+        for _ in ids:
+            for i in ids:
+                for j in ids:
+                    if jaccard(t[i], t[j]) >= 0.8:
+                        up[i] = up[j] = min(up[i], up[j])
+        for i in ids:
+            want[i] = up[i]
+            if up[i] != i:
+                hit, miss = hit + (out[i] == up[i]), miss + (out[i] != up[i])
+            else:
+                assert out[i] == i
+    assert hit >= 0.9 * (hit + miss) > 20
+
+
 # ---- 2
 
 
