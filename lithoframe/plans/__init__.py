@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import analytics, decisions, documents, rules
+from lithoframe.plans import analytics, decisions, documents, more, rules
 
-MODULES = [rules, decisions, analytics, documents]
+MODULES = [rules, decisions, analytics, documents, more]
 
 
 def queries() -> dict:
