@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lithoframe.llm import packing, quality, repeats, secrets, simhash
-from lithoframe.llm.common import documents
+from lithoframe.llm.common import bounded_batches, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    bounded_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes or more that occur elsewhere go from the texts."""
+    bounded_batches(spark)
     return repeats.remove_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts."""
+    bounded_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    bounded_batches(spark)
     p = public_tokenizers
     return packing.pack_documents(docs, p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
