@@ -50,6 +50,8 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 Universal dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: fixed values: words that any English text has
+COMMON = frozenset("a an and any as at be by can for from if in into is it its may no not of on or other that the these this those to under use was were with without you your".split())
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -70,9 +72,10 @@ class Scanner:
             norm = math.sqrt(sum(x * x for x in v.values()))
             for t in v:
                 self.by_term.setdefault(t, []).append((i, v[t] / norm))
-            # the lightest terms whose weight alone can't reach the threshold are weak, the others strong
+            # common and short terms, as far as their weight alone can't reach the threshold, are weak, the others
+            # strong: those occur in any text, so few lines without a match are scored
             weight = 0.0
-            for t in sorted(v, key=lambda t: (v[t], t)):
+            for t in sorted(v, key=lambda t: (t not in COMMON, len(t), v[t], t)):
                 weight += (v[t] / norm) ** 2
                 if math.sqrt(weight) >= threshold:
                     self.strong.add(t)
