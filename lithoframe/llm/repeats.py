@@ -176,10 +176,11 @@ def sample_texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     h, x, first, last = samples(raw, length, gram)
                     held[sha] = h, (x << 20) | ((x - last) << 10) | (x - first)
                     total += len(h)
-            if total > 500_000:
+            if total > 60_000:
                 yield from out()
                 total = 0
         yield from out()
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
     return docs.mapInArrow(run, "h long, sha binary, place long, n long")
 
@@ -220,10 +221,11 @@ def contexts(held: DataFrame, length: int) -> DataFrame:
                     else:
                         got[key] = [hit["h"], ctx[hi:], ctx[:hi][::-1], lo, hi, key, n]
                         size += len(ctx) + 200
-                if size > 24_000_000:
+                if size > 8_000_000:
                     yield from out()
                     size = 0
         yield from out()
+        pa.default_memory_pool().release_unused()
 
     return held.mapInArrow(run, "h long, suffix binary, left binary, lo int, hi int, id binary, n long")
 
@@ -245,7 +247,7 @@ def occurrences(held: DataFrame, length: int) -> DataFrame:
     return held.mapInArrow(run, "id binary, sha binary, x long")
 
 
-def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 16384) -> DataFrame:
+def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 6000) -> DataFrame:
     """(id, t, stop, w, n): windows t to stop - 1 of context id repeat; or, with w, window t's hash, to be counted."""
 
     def run(batches):
@@ -312,6 +314,7 @@ def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 16
         done += group if len(group) > 1 or (group and group[0][6] > 1) else []
         if done:
             yield from emit(work(done))
+        pa.default_memory_pool().release_unused()
 
     return ctx.mapInArrow(run, "id binary, t int, stop int, w binary, n long")
 
