@@ -184,6 +184,8 @@ STREAMS = 5
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: fixed values: of 320 bits, pairs differing in at most SURE are similar beyond doubt, those over DOUBTFUL are not
 SURE, DOUBTFUL, CHECK = 28, 66, 22
+NEAR = 8  # met pairs of a node in the first round after the tree's
+FEW = 200_000  # ids that are broadcast at most
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -235,11 +237,24 @@ def nearest_tree(check: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_pairs(nodes: DataFrame, rows: int, tables: int, bits: int) -> DataFrame:
-    """(a, b): different nodes (id, sig) that meet within two bits of one of `tables` short fingerprints.
+def open_parts(tree: list[tuple[int, int]], n: int) -> np.ndarray:
+    """For each of n fingerprints the part of the tree it is in, -1 in parts of one or two, whose pairs all are in the tree.
+
+    The tree is a least one, so fingerprints within CHECK bits of each other are in one part.
+    """
+    part = np.arange(n)
+    for a, b in tree:  # a is in the tree already
+        part[b] = part[a]
+    size = np.bincount(part, minlength=n)
+    return np.where(size[part] > 2, part, -1)
+
+
+def candidate_pairs(nodes: DataFrame, rows: int, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): different nodes (id, sig) that meet within two bits of one of `tables` short fingerprints; (k, s, id): open groups.
 
     Each short fingerprint emits itself and all variants at one bit, half the radius. Of a meeting group
-    a nearest-neighbour tree goes on, so its pairs grow with its size.
+    a nearest-neighbour tree goes on first, so its pairs grow with its size. Groups that have other pairs within
+    CHECK bits (members s of key k) are open: `cross_pairs` gives those pairs, as far as the tree's don't join them.
     """
 
     def emit(batches):
@@ -266,17 +281,74 @@ def candidate_pairs(nodes: DataFrame, rows: int, tables: int, bits: int) -> Data
         two = starts[sizes == 2]
         near = two[np.bitwise_count(c[two] ^ c[two + 1]) <= CHECK]
         found = [np.stack([i[near], i[near + 1]], axis=1)]
+        names = ["k", "s", "a", "b"]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             tree = nearest_tree(c[s : s + n])
             if tree:
                 found.append(i[s:][np.array(tree)])
+                part = open_parts(tree, n)
+                some = np.flatnonzero(part >= 0)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[s + some]), pa.array(part[some]), pa.array(i[s + some]), pa.nulls(len(some), pa.int64())], names=names)
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
     if 64 + tables * bits > STREAMS * 64:
         raise ValueError("tables * bits: 256 at most")
     n = tasks(nodes.sparkSession, rows * tables * (bits + 1), 1_000_000)
-    return nodes.select("id", "sig").mapInArrow(emit, "k long, id long").repartition(n, "k").mapInArrow(meet, "a long, b long").distinct()
+    met = stored(nodes.select("id", "sig").mapInArrow(emit, "k long, id long").repartition(n, "k").mapInArrow(meet, "k long, s long, a long, b long"))
+    return cut(met.filter("k is null").select("a", "b").distinct()), met.filter("k is not null").select("k", "s", F.col("a").alias("id"))
+
+
+def others(check: np.ndarray, root: np.ndarray, near: int):
+    """Of fingerprints that share a key: (x, its at most `near` nearest of other roots within CHECK bits, whether it has more).
+
+    Those of the most frequent root are left out as x: their pairs come from the other side.
+    """
+    kinds, of, count = np.unique(root, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return
+    for x in np.flatnonzero(of != count.argmax()).tolist():
+        d = np.bitwise_count(check ^ check[x])
+        y = np.flatnonzero((of != of[x]) & (d <= CHECK))
+        if len(y):
+            more = len(y) > near
+            yield x, y[np.argpartition(d[y], near)[:near]] if more else y, more
+
+
+def cross_pairs(parts: DataFrame, rows: int, roots: DataFrame, near: int) -> DataFrame:
+    """(a, b): pairs of open groups whose nodes have different roots, `near` of a node; a row of nulls where that left pairs out."""
+
+    def run(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not got:
+            return
+        k, s, i, r = (np.concatenate([g[j] for g in got]) for j in range(4))
+        order = np.lexsort((s, k))
+        k, s, i, r = k[order], s[order], i[order], r[order]
+        c = i.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
+        found, held, left = [], 0, False
+
+        def batch():
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
+            for x, y, more in others(c[lo:hi], r[lo:hi], near):
+                found.append(np.stack([np.full(len(y), i[lo + x]), i[lo + y]], axis=1))
+                held, left = held + len(y), left or more
+                if held > 500_000:
+                    yield batch()
+                    found, held = [], 0
+        if found:
+            yield batch()
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["a", "b"])
+
+    rooted = parts.join(roots, F.col("id") == F.col("node"), "left").select("k", "s", "id", F.coalesce("root", "id").alias("root"))
+    return rooted.repartition(tasks(parts.sparkSession, rows, 1_000_000), "k", "s").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_groups(df: DataFrame, words: int = 5, percent: int = 80, tables: int = 10, bits: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +367,7 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80, tables: int
     signed = stored(df.select(id_col, text_col).mapInArrow(sign, f"{id_col} {kind}, sig binary").withColumn("id", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")))
     # documents with the same first 64 bits are one node: at a similarity of 0.8 that has a chance of 3 in 100,000
     nodes = cut(signed.groupBy("id").agg(F.coalesce(F.min_by("sig", id_col), F.first("sig")).alias("sig"), F.min(id_col).alias("first_id")))
-    pairs = candidate_pairs(nodes, nodes.count(), tables, bits)
+    pairs, parts = candidate_pairs(nodes, nodes.count(), tables, bits)
     sig = lambda x: nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("first_id").alias(f"id_{x}"))
 
     def distance(batches):
@@ -304,22 +376,44 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80, tables: int
             d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), b.column(4), b.column(5)], names=["a", "b", "d", "id_a", "id_b"])
 
-    judged = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b", "id_a", "id_b").mapInArrow(distance, f"a long, b long, d int, id_a {kind}, id_b {kind}")
-    judged = cut(judged.filter(F.col("d") <= DOUBTFUL))
-    doubtful = judged.filter(F.col("d") > SURE)
-
     def shingles(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, words, seed).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["__id", "s"])
 
-    needed = doubtful.select(F.explode(F.array("id_a", "id_b")).alias("__n")).distinct()
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(needed, F.col("__id") == F.col("__n"), "left_semi")
-    sets = cut(texts.mapInArrow(shingles, f"__id {kind}, s array<bigint>").dropDuplicates(["__id"]))
-    side = lambda x: sets.select(F.col("__id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    close = doubtful.join(side("a"), "id_a").join(side("b"), "id_b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
-    edges = judged.filter(F.col("d") <= SURE).select("a", "b").unionByName(close.select("a", "b"))
+    sets = None  # the shingles of the documents compared so far
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        judged = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b", "id_a", "id_b").mapInArrow(distance, f"a long, b long, d int, id_a {kind}, id_b {kind}")
+        judged = cut(judged.filter(F.col("d") <= DOUBTFUL))
+        sure, doubtful = judged.filter(F.col("d") <= SURE).select("a", "b"), judged.filter(F.col("d") > SURE)
+        if doubtful.isEmpty():
+            return sure
+        needed = doubtful.select(F.explode(F.array("id_a", "id_b")).alias("__n")).distinct()
+        if sets is not None:
+            needed = cut(needed.join(sets, F.col("__n") == F.col("__id"), "left_anti"))
+            if needed.count() <= FEW:  # then the texts needn't be shuffled again
+                needed = F.broadcast(needed)
+        texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(needed, F.col("__id") == F.col("__n"), "left_semi")
+        more = cut(texts.mapInArrow(shingles, f"__id {kind}, s array<bigint>").dropDuplicates(["__id"]))
+        sets = more if sets is None else sets.unionByName(more)
+        side = lambda x: sets.select(F.col("__id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}"))
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        close = doubtful.join(side("a"), "id_a").join(side("b"), "id_b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
+        return sure.unionByName(cut(close.select("a", "b")))
+
+    edges, done = verified(pairs), pairs
     roots = components(edges)
+    open_rows, near = parts.count(), NEAR
+    while open_rows:  # the met pairs that verified links don't join yet: few of each node first, then more, until none is left out
+        found = stored(cross_pairs(parts, open_rows, roots, near))
+        fresh = cut(found.filter("a is not null").join(done, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            edges, done = edges.unionByName(verified(fresh)), done.unionByName(fresh)
+            roots = components(edges)
+        if found.filter("a is null").isEmpty():
+            break
+        near *= 16
     rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return signed.join(rooted.join(least, "root").select("id", "component_id"), "id").select(id_col, "component_id")
