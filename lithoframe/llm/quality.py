@@ -5,10 +5,12 @@ value, kept exact below 64 and to six leading bits above, so a sketch of parts i
 sketches, in any order. From the sketch of its language and source (of its language, then of all, where
 fewer than `least` documents were seen) each document gets the limits
 
-    median + max(margin, spread * (median - 10th percentile))      for the upper limits
-    median - max(margin, spread * (90th percentile - median))      for the lower one
+    90th percentile + spread * max(90th percentile - median, event)     for the upper limits
+    10th percentile - spread * max(median - 10th percentile, event)     for the lower one
 
-and documents beyond a limit, or that fail the base rule, are rejected. Every document is counted.
+and documents beyond a limit, or that fail the base rule, are rejected. Every document is counted. No limit is
+fixed: `event` is what one occurrence counts in the shortest text that the base rule lets pass (SHORTEST words), so
+that where nine tenths of a group have none of something, a handful of it in a short text is no outlier.
 
 Null texts have no words and fail the base rule; null languages and sources form groups of their own;
 an empty table gives no row; clashing extra columns are left alone.
@@ -28,15 +30,18 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 
-#: measure -> (numerator, denominator, scale, margin, lower side too)
+SHORTEST = 50
+#: measure -> (numerator, denominator, scale, lower side too)
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 350, False),
-    "upper": ("n_upper", "word_chars", 1000, 200, False),
-    "bangs": ("n_bang", "n_words", 1000, 150, False),
-    "word_length": ("word_chars", "n_words", 100, 400, True),
+    "symbols": ("n_symbols", "n_words", 1000, False),
+    "dup_lines": ("n_dup_lines", "n_words", 1000, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, False),
+    "upper": ("n_upper", "word_chars", 1000, False),
+    "bangs": ("n_bang", "n_words", 1000, False),
+    "word_length": ("word_chars", "n_words", 100, True),
 }
+#: letters in a word, for `event` of the measures that count by letters
+LETTERS = 5
 BROADCAST_GROUPS = 20_000
 
 
@@ -80,10 +85,16 @@ def measure(text_col: str = "text") -> Column:
 
 
 def value(m: str, counts: Column) -> Column:
-    num, den, scale, _, _ = MEASURES[m]
+    num, den, scale, _ = MEASURES[m]
     return F.floor(counts[num] * scale / F.greatest(counts[den], F.lit(1))).cast("long")
 
 
+def event(m: str) -> int:
+    """One occurrence in a text of SHORTEST words, in the measure's units."""
+    _, den, scale, _ = MEASURES[m]
+    return scale // (SHORTEST if den == "n_words" else SHORTEST * LETTERS)
+
+
 def rounded(v: Column) -> Column:
     """A sketch's bin, named by its largest value: exact below 64, else six leading bits."""
     e = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
@@ -108,11 +119,11 @@ def thresholds(sk: DataFrame, spread: int, least: int) -> DataFrame:
 
         return c.groupBy(*keys, "measure").agg(q(1).alias("q1"), q(5).alias("q5"), q(9).alias("q9"), F.max("total").alias("total"))
 
-    def margin() -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, MEASURES[m][3])]), F.col("measure")).cast("long")
+    def event_of() -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, event(m))]), F.col("measure")).cast("long")
 
     def two_sided() -> Column:
-        return F.col("measure").isin([m for m in MEASURES if MEASURES[m][4]])
+        return F.col("measure").isin([m for m in MEASURES if MEASURES[m][3]])
 
     by_lang = sk.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
     a, b = limits(sk, ["lang", "source"]).alias("a"), limits(by_lang, ["lang"]).alias("b")
@@ -120,8 +131,8 @@ def thresholds(sk: DataFrame, spread: int, least: int) -> DataFrame:
     j = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure"))).join(F.broadcast(c), F.col("a.measure") == F.col("c.measure"))  # c: a row per measure
     pick = {q: F.when(F.col("a.total") >= least, F.col(f"a.{q}")).when(F.col("b.total") >= least, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}")) for q in ("q1", "q5", "q9")}
     r = j.select("a.lang", "a.source", "a.measure", *[v.alias(k) for k, v in pick.items()])
-    hi = F.col("q5") + F.greatest(margin(), spread * (F.col("q5") - F.col("q1")))
-    lo = F.when(two_sided(), F.col("q5") - F.greatest(F.floor(margin() / 2), spread * (F.col("q9") - F.col("q5")))).otherwise(F.lit(-1).cast("long"))
+    hi = F.col("q9") + spread * F.greatest(event_of(), F.col("q9") - F.col("q5"))
+    lo = F.when(two_sided(), F.col("q1") - spread * F.greatest(event_of(), F.col("q5") - F.col("q1"))).otherwise(F.lit(-1).cast("long"))
     return r.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct(hi.alias("hi"), lo.alias("lo"))))).alias("limits"))
 
 
@@ -134,7 +145,7 @@ def within(counts: Column, limits: Column) -> Column:
 
 
 def base_failed(counts: Column) -> Column:
-    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    return (counts["n_words"] < SHORTEST) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
 def judged(df: DataFrame, counts: Column, th: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -147,7 +158,7 @@ def judged(df: DataFrame, counts: Column, th: DataFrame, lang: str = "lang", sou
     return j.withColumns({"__base_failed": bad, "__kept": ~bad & F.coalesce(within(counts, F.col("__limits")), F.lit(False))}).drop("__lang", "__source", "__limits")
 
 
-def quality_table(df: DataFrame, spread: int = 6, least: int = 100, id_col: str = "doc_id") -> DataFrame:
+def quality_table(df: DataFrame, spread: int = 15, least: int = 100, id_col: str = "doc_id") -> DataFrame:
     """The measures and the verdict on every document; texts are read once and never shuffled."""
     m = cut(df.select(F.col(id_col), "lang", "source", measure("text").alias("__m")))
     counts = F.col("__m")
@@ -155,7 +166,7 @@ def quality_table(df: DataFrame, spread: int = 6, least: int = 100, id_col: str
     return j.select(id_col, *[F.col("__m")[c].alias(c) for c in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def keep_good(df: DataFrame, spread: int = 6, least: int = 100) -> DataFrame:
+def keep_good(df: DataFrame, spread: int = 15, least: int = 100) -> DataFrame:
     """The documents that pass, with all their columns. The texts are measured twice and never shuffled."""
     counts = F.col("__m")
     sk = cut(sketch(df.select("lang", "source", measure("text").alias("__m")), counts))
