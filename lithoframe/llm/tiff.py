@@ -1,9 +1,10 @@
 """TIFF columns: one row per page.
 
 The reader walks the chain of image directories (classic and 64-bit files, either byte order), decodes
-uncompressed, PackBits, LZW and deflate data in strips or tiles, undoes horizontal prediction, and joins
-the parts to row-major samples. A file that can't be read gives one row with page -1 and the error; a
-null file gives no row. Extra columns are kept unless they clash with the page columns, which win.
+uncompressed, PackBits, LZW and deflate data in strips or tiles, undoes prediction (horizontal, floating point), and
+joins the parts to row-major samples of 1 to 32 bits. A page that can't be read gives a row with the error, a file
+without a first directory one with page -1; a null file gives no row. No strip is decompressed beyond what its page
+says, and no page beyond a limit. Extra columns are kept unless they clash with the page columns, which win.
 
 The writer is the other direction, for lossless storage of bytes as 8-bit samples.
 """
@@ -29,6 +30,7 @@ NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_LEN, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_LEN = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q"}
 CLEAR, END, FIRST, FULL = 256, 257, 258, 4094
+MOST = 1 << 28  # bytes of a page's samples; larger ones give an error row
 
 
 class Page(NamedTuple):
@@ -53,11 +55,12 @@ def _widths() -> tuple[np.ndarray, np.ndarray]:
     return w, np.concatenate([[0], np.cumsum(w)])
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """The decoded bytes, `most` at most (what stands between two clear codes is a few megabytes at most)."""
     widths, starts = _widths()
     raw = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64)
-    bits, at, out = len(data) * 8, 0, []
-    while at + 9 <= bits:
+    bits, at, out, done = len(data) * 8, 0, [], 0
+    while at + 9 <= bits and (most is None or done < most):
         n = int(np.searchsorted(starts[1:], bits - at, "right"))
         o = at + starts[:n]
         b = o >> 3
@@ -75,6 +78,7 @@ def lzw_decode(data: bytes) -> bytes:
                     entry = table[c] if c < len(table) else prev + prev[:1]
                     table.append(prev + entry[:1])
                 out.append(entry)
+                done += len(entry)
                 prev = entry
         if not len(stops):
             if n == len(widths):
@@ -83,7 +87,7 @@ def lzw_decode(data: bytes) -> bytes:
         if codes[k] == END:
             break
         at += int(starts[k + 1])
-    return b"".join(out)
+    return b"".join(out)[:most]
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -122,7 +126,7 @@ def lzw_encode(data: bytes) -> bytes:
 # ---- PackBits
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
     out, i, n = [], 0, len(data)
     while i < n:
         k = data[i]
@@ -134,7 +138,7 @@ def packbits_decode(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
-    return b"".join(out)
+    return b"".join(out)[:most]
 
 
 def packbits_encode(row: bytes) -> bytes:
@@ -175,15 +179,16 @@ def compress(rows: np.ndarray, compression: int, predictor: int) -> bytes:
     return raw if compression == NONE else lzw_encode(raw) if compression == LZW else zlib.compress(raw, 1)
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+def decompress(data: bytes, compression: int, most: int) -> bytes:
+    """At most `most` bytes, so that a crafted strip can't fill the memory."""
     if compression == NONE:
-        return data
+        return data[:most]
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise ValueError(f"compression {compression}")
 
 
@@ -257,56 +262,94 @@ def read_directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         (at,) = struct.unpack_from(order + off, data, at + n * entry)
 
 
-def read_page(data: bytes, k: int, tags: dict[int, list[int]]) -> Page:
+def samples_of(raw: bytes, rows: int, row_samples: int, bits: int, order: str) -> np.ndarray:
+    """(rows, row_samples) of a strip's or tile's bytes; rows of 1, 2 and 4 bit samples end at whole bytes."""
+    if bits >= 8:
+        return np.frombuffer(raw, np.dtype(np.uint8 if bits == 8 else f"{order}u{bits // 8}"), count=rows * row_samples).reshape(rows, row_samples)
+    width = -(-row_samples * bits // 8)
+    packed = np.frombuffer(raw, np.uint8, count=rows * width).reshape(rows, width)
+    each = np.unpackbits(packed, axis=1).reshape(rows, -1, bits)
+    return (each @ (1 << np.arange(bits - 1, -1, -1, dtype=np.uint8))).astype(np.uint8)[:, :row_samples]
+
+
+def undo_predictor(part: np.ndarray, predictor: int, inner: int, order: str) -> np.ndarray:
+    rows = len(part)
+    if predictor == 2:  # differences to the sample one pixel to the left
+        return np.cumsum(part.reshape(rows, -1, inner), axis=1, dtype=part.dtype.newbyteorder("=")).reshape(rows, -1)
+    if predictor == 3:  # byte differences over the row's bytes in planes, the highest first
+        wide = part.dtype.itemsize
+        planes = np.cumsum(np.ascontiguousarray(part).view(np.uint8).reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, wide, -1)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{wide}").reshape(rows, -1).astype(f"{order}u{wide}")
+    return part
+
+
+def read_page(data: bytes, k: int, tags: dict[int, list[int]], most: int = MOST) -> Page:
     w, h = tags[WIDTH][0], tags[HEIGHT][0]
     samples, bits = tags.get(SAMPLES, [1])[0], tags.get(BITS, [1])[0]
     compression, predictor, planar = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0], tags.get(PLANAR, [1])[0]
-    if bits not in (8, 16) or len(set(tags.get(BITS, [8]))) > 1 or predictor not in (1, 2):
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, [1]))) > 1 or predictor not in (1, 2, 3) or (predictor == 2 and bits < 8) or (predictor == 3 and bits < 16):
         raise ValueError(f"{bits} bits a sample, predictor {predictor}")
     order = "<" if data[:2] == b"II" else ">"
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
     tiled = TILE_W in tags
     pw, ph = (tags[TILE_W][0], tags[TILE_H][0]) if tiled else (w, min(tags.get(ROWS_PER_STRIP, [h])[0], h))
+    if min(w, h, pw, ph, samples) < 1:
+        raise ValueError("an empty page")
     at, size = (tags[TILE_AT], tags[TILE_LEN]) if tiled else (tags[STRIP_AT], tags[STRIP_LEN])
     across, down = -(-w // pw), -(-h // ph)
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
-    image = np.zeros((planes, down * ph, across * pw, inner), kind)
-    for i, (a, n) in enumerate(zip(at, size, strict=True)):
+    bytes_each = max(bits // 8, 1)
+    if planes * down * ph * across * pw * inner * bytes_each > most:
+        raise ValueError(f"a page of more than {most} bytes")
+    if len(at) < planes * across * down:
+        raise ValueError("strips or tiles are missing")
+    image = np.zeros((planes, down * ph, across * pw, inner), np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
+    for i, (a, n) in enumerate(zip(at[: planes * across * down], size, strict=False)):
         plane, rest = divmod(i, across * down)
         y, x = divmod(rest, across)
         rows = ph if tiled else min(ph, h - y * ph)
-        raw = decompress(data[a : a + n], compression)
-        part = np.frombuffer(raw, kind, count=rows * pw * inner).reshape(rows, pw, inner)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        image[plane, y * ph : y * ph + rows, x * pw : (x + 1) * pw] = part
+        raw = decompress(data[a : a + n], compression, rows * -(-pw * inner * bits // 8))
+        part = undo_predictor(samples_of(raw, rows, pw * inner, bits, order), predictor, inner, order)
+        image[plane, y * ph : y * ph + rows, x * pw : (x + 1) * pw] = part.reshape(rows, pw, inner)
     image = image[:, :h, :w]
     image = image[0] if planes == 1 else image[..., 0].transpose(1, 2, 0)
     return Page(k, w, h, samples, bits, compression, predictor, tiled, np.ascontiguousarray(image).tobytes())
 
 
+BROKEN = (ValueError, KeyError, struct.error, zlib.error, IndexError, MemoryError, OverflowError)
+
+
 def read_tiff(data: bytes) -> Iterator[Page]:
     for k, tags in enumerate(read_directories(data)):
         yield read_page(data, k, tags)
 
 
+def page_rows(data: bytes, most: int) -> list[dict]:
+    """A row for each page, with an error where it can't be read; the others stay. A broken directory ends the walk."""
+    rows, none = [], dict.fromkeys(Page._fields)
+    try:
+        for k, tags in enumerate(read_directories(data)):
+            try:
+                rows.append(read_page(data, k, tags, most)._asdict() | {"error": None})
+            except BROKEN as e:
+                rows.append(none | {"page": k, "error": f"{type(e).__name__}: {e}"})
+    except BROKEN as e:
+        rows.append(none | {"page": len(rows) or -1, "error": f"{type(e).__name__}: {e}"})
+    return rows
+
+
 PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary"
 
 
-def tiff_pages(df: DataFrame, content_col: str) -> DataFrame:
-    """One row per page of each file, with the other columns of its row and an error string (null if read)."""
+def tiff_pages(df: DataFrame, content_col: str, most: int = MOST) -> DataFrame:
+    """One row per page of each file, with the other columns of its row and an error string (null if read).
+
+    Samples of 1, 2 and 4 bits come as a byte each, those of 16 and 32 bits in the file's byte order. Pages of more than
+    `most` bytes, other sample sizes and other compressions give an error row. Null files give no row.
+    """
 
     @F.arrow_udf(f"array<struct<{PAGE.replace(' int', ':int').replace(' boolean', ':boolean').replace(' binary', ':binary')},error:string>>")
     def pages(files: pa.Array) -> pa.Array:
-        out = []
-        for f in files.to_pylist():
-            rows = None
-            if f is not None:
-                try:
-                    rows = [p._asdict() | {"error": None} for p in read_tiff(f)]
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError, MemoryError) as e:
-                    rows = [dict.fromkeys(Page._fields) | {"page": -1, "error": f"{type(e).__name__}: {e}"}]
-            out.append(rows)
+        out = [None if f is None else page_rows(f, most) for f in files.to_pylist()]
         i, b = pa.int32(), pa.bool_()
         return pa.array(out, pa.list_(pa.struct([*[(n, i) for n in Page._fields[:7]], ("tiled", b), ("pixels", pa.binary()), ("error", pa.string())])))
 
