@@ -73,6 +73,8 @@ class Codec:
         self.table = {b: c for b, c in enumerate(chars)}
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of = [bytes([back[c] for c in self.model.id_to_piece(i) if c in back]) for i in range(self.unknown)]
+        # `units` holds for patterns in which a space joins only what follows it
+        self.by_units = " ?" in pattern and r"\s+(?!\S)" in pattern
         self._memo = Memo(self._unit)
         self._pieces = Memo(self._piece)
 
@@ -100,7 +102,7 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids, sha256 of the bytes decoded from them."""
-        cut = units(text)
+        cut = units(text) if self.by_units else None
         memo = self._memo
         parts = [memo[u] for u in (self.pattern.findall(text) if cut is None else cut)]
         ids = ",".join([p[0] for p in parts if p[1]])
@@ -109,7 +111,6 @@ class Codec:
 
 @lru_cache(4)
 def codec(ranks_path: str, pattern: str) -> Codec:
-    gc.disable()  # a worker's memos hold no cycles, and scanning them costs as much as the encoding
     return Codec(ranks_path, pattern)
 
 
@@ -132,9 +133,13 @@ def digest_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for b in batches:
-            rows = [c.digest(t or "") for t in b.column(1).to_pylist()]
-            out = to_batch({k: [r[i] for r in rows] for i, k in enumerate(types)}, types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[id_col, *types])
+        gc.disable()  # the memos hold no cycles, and scanning them costs as much as the encoding
+        try:
+            for b in batches:
+                rows = [c.digest(t or "") for t in b.column(1).to_pylist()]
+                out = to_batch({k: [r[i] for r in rows] for i, k in enumerate(types)}, types)
+                yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[id_col, *types])
+        finally:
+            gc.enable()  # the worker may serve other queries next
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
