@@ -1,8 +1,11 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
-Every version of a text is addressed by its SHA-256. Only blobs that the ledger doesn't hold for the
-current rule version are scanned, each once however many paths carry it; the ledger's spans are then
-joined back to all paths. Spans are code points, end exclusive. A pattern's matches and the gaps between
+Every version of a text is addressed by its SHA-256. The ledger is a table in a shared folder with a row for each
+(blob, rule version) pair that was scanned, and its spans. Only pairs that the ledger lacks are scanned, each once
+however many paths carry the blob, and appended; the ledger's spans are then joined back to all paths. Texts are
+scanned where they lie: of equal texts the one of the smallest id, the other rows are left out by their ids and
+addresses. A ledger that stays (`path`, or the session's setting LEDGER) makes the next run incremental; a write that
+was broken off leaves no rows, and rows written twice count once. Spans are code points, end exclusive. A pattern's matches and the gaps between
 them have their lengths summed up to positions, so all spans of a text cost one pass for each rule.
 
 Base kinds: assign, access, hex; more kinds add spans. Null texts count as empty: no spans. Equal texts
@@ -11,13 +14,18 @@ get equal spans; an empty table gives no row; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lithoframe.llm.common import cut
+from lithoframe.llm.common import cut, ensure_checkpoint_dir, few
 
 RULE_VERSION = "1"
+LEDGER = "spark.lithoframe.secrets.ledger"
+SPANS = "array<struct<start:int,rule:int,kind:string,end:int>>"
+ROWS = f"blob string, rule_version string, spans {SPANS}"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = ("assign", "access", "hex")
 #: (kind, pattern, least characters, group that is measured, text that must occur)
@@ -49,6 +57,8 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     """(blob, rule_version, spans array<struct<start, rule, kind, end>>) of (blob, text), a row for each blob."""
     found = F.concat(*[matches(F.col("text"), i, *r) for i, r in enumerate(RULES)])
     rows = blobs.select("blob", F.posexplode_outer(found).alias("i", "m")).select("blob", "i", "m.*")
+    # equal rows may bring a blob twice; one exchange serves this step, the window and the aggregation
+    rows = rows.repartition("blob").dropDuplicates(["blob", "rule", "i"])
     w = Window.partitionBy("blob", "rule").orderBy("i")
     end = F.sum(F.col("gap") + F.coalesce("n", F.lit(0))).over(w)
     spans = rows.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("n"))
@@ -56,37 +66,55 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return spans.groupBy("blob").agg(F.array_sort(F.collect_list(good)).alias("spans")).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None) -> DataFrame:
-    """New ledger rows: blobs of versions (blob, text) that the ledger lacks under this rule version."""
-    if ledger is not None:
-        versions = versions.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    return scan_blobs(versions.groupBy("blob").agg(F.first("text").alias("text")))
-
-
 def addressed(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with __text (null: empty) and its address __blob."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.withColumns({"__text": text, "__blob": F.sha2(text, 256)})
 
 
-def update_ledger(df: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """The ledger after scanning df's unseen blobs, written to the shared folder."""
-    fresh = scan_unseen(addressed(df.select(text_col), text_col).select(F.col("__blob").alias("blob"), F.col("__text").alias("text")), ledger)
-    return cut(fresh if ledger is None else ledger.unionByName(fresh))
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows of the current rules, one for each blob."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return spark.range(0).select(F.lit("").alias("blob"), F.lit(RULE_VERSION).alias("rule_version"), F.array().cast(SPANS).alias("spans"))
+    rows = spark.read.schema(ROWS).parquet(path).filter(F.col("rule_version") == RULE_VERSION)
+    return rows.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+
+
+def unseen(df: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(blob, text) of the blobs of df that the ledger lacks; one row for each, unless equal rows have the same id."""
+    own = addressed(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t").select("__id", F.col("__blob").alias("blob"), F.col("__text").alias("text"))
+    paths = cut(own.select("__id", "blob"))
+    reps = paths.groupBy("blob").agg(F.min("__id").alias("rep"), F.count("*").alias("n"))
+    known = reps.join(ledger.select("blob"), "blob", "left_semi").select("blob", "rep")
+    # rows that needn't be scanned: copies other than the representative, and what the ledger has
+    copies = paths.join(reps.filter("n > 1").select("blob", "rep"), "blob").filter(~F.col("__id").eqNullSafe(F.col("rep")))
+    left_out = copies.select("__id", "blob").union(known.select("rep", "blob")).select(F.col("__id").alias("i"), F.col("blob").alias("b")).distinct()
+    return own.join(few(left_out), F.col("__id").eqNullSafe(F.col("i")) & (F.col("blob") == F.col("b")), "left_anti").select("blob", "text")
+
+
+def update_ledger(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan what the ledger lacks of df's blobs, append it and return the ledger's rows of the current rules."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = path or spark.conf.get(LEDGER, None) or f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    fresh = scan_blobs(unseen(df, read_ledger(spark, path), id_col, text_col))
+    fresh.write.mode("append").parquet(path)
+    return read_ledger(spark, path)
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(df: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array) of every path (row), by way of the ledger."""
-    known = update_ledger(df, ledger, text_col).filter(F.col("rule_version") == RULE_VERSION).filter(F.size("spans") > 0).select("blob", "spans")
+    known = update_ledger(df, path, id_col, text_col).filter(F.size("spans") > 0).select("blob", "spans")
     paths = addressed(df, text_col).select(id_col, "__blob")
-    return paths.join(known, F.col("__blob") == F.col("blob"), "left").select(id_col, F.coalesce("spans", F.array().cast("array<struct<start:int,rule:int,kind:string,end:int>>")).alias("spans"))
+    return paths.join(known, F.col("__blob") == F.col("blob"), "left").select(id_col, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def secrets_table(df: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def secrets_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Counts of the base kinds, the base spans' digest and all spans of every document."""
     s = F.col("spans")
 
@@ -95,12 +123,12 @@ def secrets_table(df: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
     count = {f"n_{k}": F.size(of(k)).cast("long") for k in BASE}
     base = joined(of(*BASE))
-    return find_secrets(df, ledger).select("doc_id", *[v.alias(k) for k, v in count.items()], F.sha2(base, 256).alias("base_sha256"), joined(s).alias("spans"))
+    return find_secrets(df, path).select("doc_id", *[v.alias(k) for k, v in count.items()], F.sha2(base, 256).alias("base_sha256"), joined(s).alias("spans"))
 
 
-def redact(df: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every found span replaced by a placeholder; rows and columns stay."""
-    known = update_ledger(df, ledger, text_col).filter(F.col("rule_version") == RULE_VERSION).filter(F.size("spans") > 0).select(F.col("blob").alias("__found"), F.col("spans").alias("__spans"))
+    known = update_ledger(df, path, id_col, text_col).filter(F.size("spans") > 0).select(F.col("blob").alias("__found"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
