@@ -16,9 +16,12 @@ the corpus is neither possible on one machine nor needed:
    least value between them. After t steps, a window t bytes left of its sample repeats exactly if a
    neighbour's common prefix reaches `length`. All samples of a batch step left together.
 
-Samples of more than `largest` different contexts (a passage common to a large part of the corpus) are
-not held in one task: their windows' 128-bit hashes are counted by an aggregation instead, which
-combines on the map side; the result is the same.
+Several lengths at once: samples are those of the shortest windows, and the contexts reach as far as the
+longest need. Equal longer windows start with equal shorter ones, so they meet at the same samples.
+
+Samples that occur more than `largest` times (a passage common to a large part of the corpus) don't meet
+in one task: their windows' 128-bit hashes are counted by an aggregation instead, which combines on the
+map side; the result is the same.
 
 Texts are keyed by their content, so copies are sampled once a task and counted. Null texts are empty;
 texts under `length` bytes lose nothing; an empty table gives no row; repeated rows count as repeats.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import cut, stored, tasks, text_bytes
+from lithoframe.llm.common import cut, discard, stored, tasks, text_bytes
 
 CHUNK = 1 << 19
 MASK64 = (1 << 64) - 1
@@ -117,13 +120,13 @@ def range_min(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def induce(left: np.ndarray, t_lo: np.ndarray, t_hi: np.ndarray, lcp: np.ndarray, number: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of samples in suffix order repeat: a matrix (sample, t).
+def induce(left: np.ndarray, t_lo: np.ndarray, t_hi: np.ndarray, lcp: np.ndarray, number: np.ndarray, sizes: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Which windows of samples in suffix order repeat: a matrix (sample, t) for each length.
 
-    left[i, t - 1]: the byte t places left of sample i; lcp: common prefixes of neighbours at t = 0.
+    left[i, t - 1]: the byte t places left of sample i; lcp: common prefixes of neighbours at t = 0; sizes: of the suffixes.
     """
     n = len(t_lo)
-    marks = np.zeros((n, int(t_hi.max()) + 1), bool)
+    marks = [np.zeros((n, int(t_hi.max()) + 1), bool) for _ in lengths]
     order = np.arange(n)
     for t in range(int(t_hi.max()) + 1):
         if t:
@@ -135,9 +138,11 @@ def induce(left: np.ndarray, t_lo: np.ndarray, t_hi: np.ndarray, lcp: np.ndarray
             same = np.flatnonzero(byte[1:] == byte[:-1])
             fresh[same + 1] = range_min(lcp, new[same] + 1, new[same + 1] + 1) + 1
             order, lcp = order[new], fresh
-        near = lcp >= length
-        near[:-1] |= near[1:]
-        marks[order[(near | (number[order] > 1)) & (t_lo[order] <= t)], t] = True
+        for length, m in zip(lengths, marks, strict=True):
+            near = lcp >= length
+            near[:-1] |= near[1:]
+            twice = (number[order] > 1) & (sizes[order] + t >= length)
+            m[order[(near | twice) & (t_lo[order] <= t)], t] = True
     return marks
 
 
@@ -190,6 +195,7 @@ def unpack(place: int) -> tuple[int, int, int]:
 
 
 def context(raw: bytes, place: int, length: int) -> tuple[bytes, int, int, int]:
+    """(bytes that the windows of a sample need, its place, least and greatest distance of a window)."""
     x, lo, hi = unpack(place)
     return raw[x - hi : x - lo + length], x, lo, hi
 
@@ -214,6 +220,8 @@ def contexts(held: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for raw, n, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for hit in hits:
+                    if hit["hot"]:
+                        continue
                     ctx, _, lo, hi = context(raw, hit["place"], length)
                     key = context_id(ctx, lo, hi)
                     if key in got:
@@ -247,8 +255,41 @@ def occurrences(held: DataFrame, length: int) -> DataFrame:
     return held.mapInArrow(run, "id binary, sha binary, x long")
 
 
-def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 6000) -> DataFrame:
-    """(id, t, stop, w, n): windows t to stop - 1 of context id repeat; or, with w, window t's hash, to be counted."""
+def hot_windows(held: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(id, t, len, w, n): each window of the samples that occur too often to meet in one task, by its hash."""
+
+    def run(batches):
+        def batch(rows):
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "t", "len", "w", "n"])
+
+        seen: dict[bytes, int] = {}  # equal contexts of a batch are counted
+        for b in batches:
+            seen.clear()
+            at: dict[bytes, tuple] = {}
+            for raw, n, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                for hit in hits:
+                    if hit["hot"]:
+                        ctx, _, lo, hi = context(raw, hit["place"], lengths[-1])
+                        key = context_id(ctx, lo, hi)
+                        seen[key] = seen.get(key, 0) + n
+                        at[key] = ctx, lo, hi
+            rows = []
+            for key, (ctx, lo, hi) in at.items():
+                for length in lengths:
+                    rows += [(key, t, length, hashlib.blake2b(ctx[hi - t : hi - t + length], digest_size=16).digest(), seen[key]) for t in range(lo, hi + 1) if hi - t + length <= len(ctx)]
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    return held.mapInArrow(run, "id binary, t int, len int, w binary, n long")
+
+
+def marked(ctx: DataFrame, lengths: tuple[int, ...], batch: int = 6000) -> DataFrame:
+    """(id, t, stop, len): windows t to stop - 1 of context id repeat. ctx is sorted by h and suffix."""
+    longest = lengths[-1]
 
     def run(batches):
         def matrix(rows, column, width):
@@ -272,75 +313,56 @@ def marked(ctx: DataFrame, length: int, gram: int, largest: int, batch: int = 60
 
         def work(rows):
             rows = merge(rows)
-            right = matrix(rows, 1, length)
+            right = matrix(rows, 1, longest)
             sizes = np.array([len(r[1]) for r in rows])
             lcp = common_prefix(right, sizes)
             lo, hi, n = (np.array([r[i] for r in rows]) for i in (3, 4, 6))
-            marks = induce(matrix(rows, 2, max(int(hi.max()), 1)), lo, hi, lcp, n, length)
-            return [(rows[i][5], t, stop, None, None) for i in np.flatnonzero(marks.any(axis=1)).tolist() for t, stop in runs_of(marks[i])]
+            found = induce(matrix(rows, 2, max(int(hi.max()), 1)), lo, hi, lcp, n, sizes, lengths)
+            out = [(rows[i][5], t, stop, length) for length, marks in zip(lengths, found, strict=True) for i in np.flatnonzero(marks.any(axis=1)).tolist() for t, stop in runs_of(marks[i])]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "t", "stop", "len"])
 
-        def windows(rows):
-            for r in rows:
-                whole = r[2][::-1] + r[1]
-                for t in range(r[3], r[4] + 1):
-                    at = r[4] - t
-                    yield r[5], t, t + 1, hashlib.blake2b(whole[at : at + length], digest_size=16).digest(), r[6]
-
-        def emit(rows):
-            rows = list(rows)
-            types = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(types)], names=["id", "t", "stop", "w", "n"])
-
-        done, group, hot = [], [], None  # whole groups so far, the open group, the hash of an overfull one
+        done, group = [], []  # whole groups so far, the open group
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if hot is not None and r[0] == hot:
-                    yield from emit(windows([r]))
-                    continue
-                hot = None
                 if group and group[0][0] != r[0]:
                     done += group if len(group) > 1 or group[0][6] > 1 else []
                     group = []
                     if len(done) >= batch:
-                        yield from emit(work(done))
+                        yield work(done)
                         done = []
                 group.append(r)
-                if len(group) > largest:
-                    hot, full, group = r[0], group, []
-                    for i in range(0, len(full), 256):
-                        yield from emit(windows(full[i : i + 256]))
         done += group if len(group) > 1 or (group and group[0][6] > 1) else []
         if done:
-            yield from emit(work(done))
+            yield work(done)
         pa.default_memory_pool().release_unused()
 
-    return ctx.mapInArrow(run, "id binary, t int, stop int, w binary, n long")
+    return ctx.mapInArrow(run, "id binary, t int, stop int, len int")
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, largest: int) -> tuple[DataFrame, DataFrame]:
-    """docs (sha, raw) -> texts with a repeated sample (sha, raw, ...), and (sha, spans) of what repeats."""
-    if not 0 < gram <= length or length - gram > 1023:
-        raise ValueError("gram: from length - 1023 to length")
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], gram: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """docs (sha, raw) -> texts with a repeated sample (sha, raw, ...), and (sha, spans) of what repeats at each length."""
+    lengths = tuple(sorted(set(lengths)))
+    if not 0 < gram <= lengths[0] or lengths[0] - gram > 1023:
+        raise ValueError("gram: from the least length - 1023 to it")
     spark = docs.sparkSession
-    found = stored(sample_texts(docs, length, gram))
+    found = stored(sample_texts(docs, lengths[0], gram))
     # cut, so that both sides of the join are shuffled anew and Spark can split a hot sample's rows
-    often = cut(found.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    hits = found.join(often, "h", "left_semi").groupBy("sha").agg(F.collect_set(F.struct("h", "place")).alias("hits"))
+    often = cut(found.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", (F.col("n") > largest).alias("hot")))
+    hits = found.join(often, "h").groupBy("sha").agg(F.collect_set(F.struct("h", "place", "hot")).alias("hits"))
     texts = docs.groupBy("sha").agg(F.first("raw").alias("raw"), F.count("*").alias("n"))
     held = stored(texts.join(hits, "sha").select("sha", "raw", "n", "hits"))
+    discard(found)
     number = held.agg(F.sum(F.size("hits"))).first()[0] or 0
-    ctx = contexts(held, length).repartition(tasks(spark, number, 50_000), "h").sortWithinPartitions("h", "suffix")
-    out = stored(marked(ctx, length, gram, largest))
-    per_row = out.filter("w is null").select("id", "t", "stop")
-    hot = out.filter("w is not null")
-    if not hot.isEmpty():
-        # one row for each task and window may carry a part of the number: sum them before the count is judged
+    ctx = contexts(held, lengths[-1]).repartition(tasks(spark, number, 25_000), "h").sortWithinPartitions("h", "suffix")
+    per_row = stored(marked(ctx, lengths))
+    if not often.filter("hot").isEmpty():
+        hot = stored(hot_windows(held, lengths))
+        # one row for each batch and window may carry a part of the number: sum them before the count is judged
         twice = hot.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
-        per_row = per_row.union(hot.join(twice, "w", "left_semi").select("id", "t", "stop").distinct())
+        per_row = per_row.union(hot.join(twice, "w", "left_semi").select("id", "t", (F.col("t") + 1).alias("stop"), "len").distinct())
     # window t starts t bytes left of x: windows t..stop-1 cover x - (stop - 1) to x - t + length
-    cover = occurrences(held, length).join(per_row, "id").select("sha", F.struct((F.col("x") - F.col("stop") + 1).alias("a"), (F.col("x") - F.col("t") + length).alias("b")).alias("s"))
+    cover = occurrences(held, lengths[-1]).join(per_row, "id").select("sha", F.struct("len", (F.col("x") - F.col("stop") + 1).alias("a"), (F.col("x") - F.col("t") + F.col("len")).alias("b")).alias("s"))
     return held, cover.groupBy("sha").agg(F.collect_set("s").alias("spans"))
 
 
@@ -367,35 +389,37 @@ def keyed(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumns({"__sha": F.unhex(F.substring(F.sha2(raw, 256), 1, 32)), "__raw": raw})
 
 
-def removals(df: DataFrame, text_col: str, length: int, gram: int, largest: int, with_text: bool) -> DataFrame:
-    """(sha, n_removed, n_spans, kept_sha256, [kept]) of each different text that loses bytes."""
+def removals(df: DataFrame, text_col: str, length: int, also: int | None, gram: int, largest: int, with_text: bool) -> DataFrame:
+    """(sha, n_removed, n_spans, kept_sha256, [kept], passage_bytes, passage_spans) of each different text with repeats."""
     docs = keyed(df.select(text_col), text_col).select(F.col("__sha").alias("sha"), F.col("__raw").alias("raw"))
-    held, spans = repeated_spans(docs, length, gram, largest)
+    held, spans = repeated_spans(docs, (length,) if also is None else (length, also), gram, largest)
 
     def run(batches):
         for b in batches:
             rows = []
             for sha, raw, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                m = merged(s)
+                m = merged(x for x in s if x["len"] == length)
+                p = merged(x for x in s if x["len"] == also)
                 left = kept_parts(raw, m)
-                rows.append((sha, len(raw) - len(left), len(m), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["sha", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((sha, len(raw) - len(left), len(m), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None, sum(y - x for x, y in p), len(p)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["sha", "n_removed", "n_spans", "kept_sha256", "kept", "passage_bytes", "passage_spans"])
 
-    return held.select("sha", "raw").join(spans, "sha").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return held.select("sha", "raw").join(spans, "sha").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string, kept string, passage_bytes long, passage_spans long")
 
 
-def repeats_table(df: DataFrame, length: int = 400, gram: int = 64, largest: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What each document loses, and the digest of what is left."""
-    lost = cut(removals(df, text_col, length, gram, largest, False).drop("kept"))
+def repeats_table(df: DataFrame, length: int = 400, gram: int = 64, largest: int = 50_000, also: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What each document loses, and the digest of what is left; also: what repeats at a second length, which stays."""
+    lost = cut(removals(df, text_col, length, also, gram, largest, False).drop("kept"))
     raw = text_bytes(text_col)
     all_docs = df.select(F.col(id_col), F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("full")).withColumn("__sha", F.unhex(F.substring("full", 1, 32)))
     j = all_docs.join(lost, F.col("__sha") == F.col("sha"), "left")
     zero = F.lit(0).cast("long")
-    return j.select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full").alias("kept_sha256"))
+    passages = [] if also is None else [F.coalesce(c, zero).alias(c) for c in ("passage_bytes", "passage_spans")]
+    return j.select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full").alias("kept_sha256"), *passages)
 
 
 def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, largest: int = 50_000, text_col: str = "text") -> DataFrame:
     """df without the repeated bytes (a character that is cut in two goes too); rows and columns stay."""
-    lost = stored(removals(df, text_col, length, gram, largest, True).select(F.col("sha").alias("__lost"), F.col("kept").alias("__kept")))
+    lost = stored(removals(df, text_col, length, None, gram, largest, True).select(F.col("sha").alias("__lost"), F.col("kept").alias("__kept")))
     j = keyed(df, text_col).join(lost, F.col("__sha") == F.col("__lost"), "left")
     return j.withColumn(text_col, F.when(F.col("__lost").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))).select(*df.columns)
