@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only in a local session, as elsewhere executors don't see it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithoframe-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there.
+    """df written as Parquet in the shared folder and read from there.
 
-    A result that several plans read is computed once, its plan isn't part of theirs, and a lost executor
-    loses nothing. The folder is the cluster's; a temporary one is set only where none is named.
+    A result that several plans read is computed once, its plan isn't part of theirs, each of them reads only the
+    columns that it needs, and a lost executor loses nothing.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithoframe-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys and kept: aggregations and joins on them, or on more columns, need no exchange.
+
+    What an executor held is dealt out again if the executor is lost.
+    """
+    return df.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)

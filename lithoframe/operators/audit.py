@@ -14,6 +14,9 @@ MODEL_PRIORITY = {"mineru": 4, "docling": 3, "anydoc": 2, "markitdown": 1}
 ANCHOR = 24
 
 
+IMAGE_CATEGORY = "图文回答数据集源文件"  # fixed value: the category of sources that are pictures with questions
+
+
 def markdown_lines(docs: DataFrame, key: str = "doc_id", md: str = "markdown") -> DataFrame:
     """(key, n, line, block): lines with the number of the Markdown block that they belong to (null: blank).
 
@@ -83,19 +86,52 @@ def coverage(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("page_number").alias("pages"), has("page_number").alias("page_share"), has("bbox").alias("box_share"), has("source_block_id").alias("source_share"))
 
 
-def scenarios(ext: Column, scanned: Column, images: Column, tables: Column, cells: Column, pages: Column, split: Column, failed: Column, empty: Column, data_uris: Column, giant: Column) -> Column:
-    """Sorted scenario tags of a source."""
+def scenarios(ext: Column, scanned: Column, images: Column, tables: Column, cells: Column, pages: Column, split: Column, failed: Column, empty: Column, data_uris: Column, giant: Column, media: Column | None = None, category: Column | None = None, detected: Column | None = None) -> Column:
+    """Sorted scenario tags of a source; detected: the number of tables that each parser found."""
     z = lambda c: F.coalesce(c, F.lit(0))
+    media, category = F.lit(0) if media is None else media, F.lit("") if category is None else category
+    second = F.lit(0) if detected is None else F.when(F.size(detected) >= 2, F.get(F.sort_array(F.transform(detected, z), False), F.lit(1)))
     pdf = ext == ".pdf"
     tags = [
         F.concat(F.lit("format_"), F.regexp_replace(ext, r"^\.", "")),
         F.when(pdf & (scanned >= 0.8), "scanned_ocr_pdf"), F.when(pdf & (scanned <= 0.2), "ordinary_text_pdf"), F.when(pdf & ~F.coalesce((scanned >= 0.8) | (scanned <= 0.2), F.lit(False)), "mixed_text_scan_pdf"),
-        F.when(z(images) >= 5, "image_rich"), F.when((z(tables) >= 3) | (z(cells) >= 100), "complex_table"), F.when(ext.isin(".doc", ".ppt", ".xls"), "legacy_office"), F.when(pages >= 200, "very_long_document"),
+        F.when((z(images) >= 5) | (z(media) > 0) | (F.coalesce(category, F.lit("")) == IMAGE_CATEGORY), "image_rich"), F.when((z(tables) >= 3) | (z(cells) >= 100) | (z(second) >= 3), "complex_table"), F.when(ext.isin(".doc", ".ppt", ".xls"), "legacy_office"), F.when(pages >= 200, "very_long_document"),
         F.when(split, "split_document"), F.when(failed, "parser_failure"), F.when(empty, "empty_pseudo_success"), F.when(z(data_uris) > 0, "data_uri"), F.when(giant, "giant_block"),
     ]
     return F.array_sort(F.array_compact(F.array(*tags)))
 
 
+#: fixed values: the rated capabilities, in order
+RATED = ("text_fidelity", "reading_order", "page_traceability", "table_fidelity", "image_fidelity", "heading_structure", "ocr_quality")
+
+
+def capability_ratings(records: DataFrame) -> DataFrame:
+    """records with ratings: a struct of good, partial, failed or not_applicable for each of RATED.
+
+    records: ext, scenarios, source_pages; parser_success, is_empty; proxy_available, coverage, order_score, length_ratio;
+    page_coverage; table_count, table_cells, html_tables, pipe_rows; references, missing_references, assets, pictures;
+    headings, blocks, chars of one parser's output on one source.
+    """
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    no, pdf = F.lit("not_applicable"), F.col("ext") == ".pdf"
+    marked = lambda tag: F.array_contains("scenarios", tag)
+    steps = lambda score, good, partial: F.when(score >= good, "good").when(score >= partial, "partial").otherwise("failed")
+    proxy = is_true("proxy_available")
+    alive = {
+        "text_fidelity": F.when(~proxy, no).when((F.col("coverage") >= 0.8) & F.col("length_ratio").between(0.6, 1.8), "good").when(F.col("coverage") >= 0.3, "partial").otherwise("failed"),
+        "reading_order": F.when(~proxy | F.col("order_score").isNull(), no).otherwise(steps(F.col("order_score"), 0.95, 0.6)),
+        "page_traceability": F.when(~pdf | F.col("source_pages").isNull(), no).when(F.col("page_coverage") >= 0.95, "good").when(F.col("page_coverage") > 0, "partial").otherwise("failed"),
+        "table_fidelity": F.when(~marked("complex_table"), no).when((z("table_cells") > 0) & (z("html_tables") + z("pipe_rows") > 0), "good").when((z("table_count") > 0) | (z("html_tables") + z("pipe_rows") > 0), "partial").otherwise("failed"),
+        "image_fidelity": F.when(~marked("image_rich"), no).when((z("references") > 0) & (z("missing_references") == 0), "good").when((z("references") > 0) | (z("assets") > 0) | (z("pictures") > 0), "partial").otherwise("failed"),
+        "heading_structure": F.when(z("headings") >= 2, "good").when(z("blocks") > 0, "partial").otherwise("failed"),
+        "ocr_quality": F.when(~marked("scanned_ocr_pdf"), no).when(z("chars") == 0, "failed").otherwise("partial"),
+    }
+    dead = {c: F.lit("failed") for c in RATED} | {"page_traceability": F.when(pdf, "failed").otherwise(no)} | {c: F.when(marked(tag), "failed").otherwise(no) for c, tag in (("table_fidelity", "complex_table"), ("image_fidelity", "image_rich"), ("ocr_quality", "scanned_ocr_pdf"))}
+    gone = ~is_true("parser_success") | is_true("is_empty")
+    return records.withColumn("ratings", F.struct(*[F.when(gone, dead[c]).otherwise(alive[c]).alias(c) for c in RATED]))
+
+
 def rating(failed: Column, applicable: Column, score: Column, good: float, partial: float) -> Column:
     """good, partial or failed by a score's thresholds; not_applicable without evidence."""
     return F.when(~applicable, "not_applicable").when(failed, "failed").when(score.isNull(), "not_applicable").when(score >= good, "good").when(score >= partial, "partial").otherwise("failed")

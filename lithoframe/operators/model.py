@@ -20,9 +20,9 @@ RELATIONS = "doc_id string, relation_type string, from_id string, to_id string,
 
 SCHEMAS = {
     "documents": "doc_id string, markdown string",
-    "blocks": "doc_id string, block_id string, source_block_id string, order_index int, kind string, text string, markdown string, heading_level int, bbox array<double>, coordinate_system string, bbox_granularity string, page_number int, label string",
-    "tables": "doc_id string, table_id string, block_id string, num_rows int, num_cols int, header_rows int, row_header_columns array<int>, page_number int, bbox array<double>, caption string, html string, markdown string, structure_source string, view_scope string, source_row_count int, emitted_row_count int, hidden_row_count int, parent_table_id string, parent_cell_id string, nesting_depth int",
-    "cells": "doc_id string, table_id string, cell_id string, start_row int, start_col int, row_span int, col_span int, text string, raw_value string, column_header boolean, row_header boolean, bbox array<double>, locator string",
+    "blocks": "doc_id string, block_id string, source_block_id string, order_index int, kind string, text string, markdown string, heading_level int, bbox array<double>, coordinate_system string, bbox_granularity string, page_number int, label string, position int",
+    "tables": "doc_id string, table_id string, block_id string, num_rows int, num_cols int, header_rows int, row_header_columns array<int>, page_number int, bbox array<double>, caption string, html string, markdown string, structure_source string, view_scope string, source_row_count int, emitted_row_count int, hidden_row_count int, parent_table_id string, parent_cell_id string, nesting_depth int, markdown_rendering string",
+    "cells": "doc_id string, table_id string, cell_id string, start_row int, start_col int, row_span int, col_span int, text string, raw_value string, value_type string, column_header boolean, row_header boolean, bbox array<double>, locator string",
     "grid": "doc_id string, table_id string, r int, c int, kind string, cell_id string",
     "assets": "doc_id string, path string, sha256 string",
     "artifacts": "doc_id string, artifact_id string, sha256 string, required boolean",
@@ -64,6 +64,15 @@ class Result(NamedTuple):
     bindings: DataFrame | None = None
 
 
+def last_blocks(blocks: DataFrame, **columns: Column | str) -> DataFrame:
+    """(doc_id, block_id, columns): one block of each id, the one written last.
+
+    That is the one of the greatest position, then order_index; among blocks that neither tells apart the greatest values.
+    """
+    of = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+    return blocks.groupBy("doc_id", "block_id").agg(F.max_by(of, F.struct(F.coalesce("position", F.lit(-1)), F.coalesce("order_index", F.lit(-1)), of)).alias("_b")).select("doc_id", "block_id", "_b.*")
+
+
 def issue(df: DataFrame, rule_id: str, severity: str | Column, category: str, message: Column, blocks: Column | None = None, status: str = OPEN) -> DataFrame:
     """A row of df becomes an issue."""
     sev = F.lit(severity) if isinstance(severity, str) else severity

@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.exprs import blank, uuid5
+from lithoframe.functions.exprs import blank, strip, uuid5
 from lithoframe.operators.content import text
-from lithoframe.operators.model import Facts, union
+from lithoframe.operators.model import Facts, last_blocks, union
 from lithoframe.operators.tables import KEY, anchor_copy
+from lithoframe.sources.html import html_pipe
 
 REPAIRS = "doc_id string, rule_id string, object_id string, before string, after string, applied boolean, reason string"
 FENCE = re.compile(r"\s*(```+|~~~+)")
@@ -111,14 +112,16 @@ def fold_replacements(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def html_to_pipe(f: Facts, rendered: DataFrame) -> tuple[Facts, DataFrame]:
-    """Tables whose Markdown is still HTML get pipe Markdown (rendered: doc_id, table_id, pipe) in table, block and document.
+    """Tables whose Markdown is still HTML, or whose HTML is in the document, get pipe Markdown in table, block and document.
 
-    Without a table block, a rendering, or its text in the document, the repair is recorded as rejected.
+    rendered: (doc_id, table_id, pipe). The block's old Markdown is replaced, else the table's HTML. Without a table block,
+    a rendering, or its text in the document, the repair is recorded as rejected.
     """
     html, md = F.coalesce("html", F.lit("")), F.coalesce("t.markdown", F.lit(""))
-    b = f.blocks.select("doc_id", "block_id", "kind", "order_index", F.col("markdown").alias("block_md")).dropDuplicates(["doc_id", "block_id"])
-    t = f.tables.alias("t").filter((html != "") & (blank(md) | F.lower(md).contains("<table"))).join(b, ["doc_id", "block_id"], "left").join(rendered, ["doc_id", "table_id"], "left").join(f.documents.select("doc_id", F.col("markdown").alias("doc_md")), "doc_id")
-    old = F.when(F.col("doc_md").contains(F.col("html")), F.col("html")).when((F.coalesce("block_md", F.lit("")) != "") & F.col("doc_md").contains(F.col("block_md")), F.col("block_md"))
+    b = last_blocks(f.blocks, kind="kind", order_index="order_index", block_md="markdown")
+    t = f.tables.alias("t").filter(html != "").join(b, ["doc_id", "block_id"], "left").join(rendered, ["doc_id", "table_id"], "left").join(f.documents.select("doc_id", F.col("markdown").alias("doc_md")), "doc_id")
+    t = t.filter(blank(md) | F.lower(md).contains("<table") | F.col("doc_md").contains(F.col("html")))
+    old = F.when((F.coalesce("block_md", F.lit("")) != "") & F.col("doc_md").contains(F.col("block_md")), F.col("block_md")).when(F.col("doc_md").contains(F.col("html")), F.col("html"))
     reason = F.when(F.col("kind").isNull() | (F.col("kind") != "table"), "no table block").when(F.col("pipe").isNull() | blank(F.col("pipe")), "cells can't be rendered").when(old.isNull(), "text isn't in the document")
     t = t.withColumn("old", old).withColumn("reason", reason)
     ok = t.filter("reason is null")
@@ -131,21 +134,27 @@ def html_to_pipe(f: Facts, rendered: DataFrame) -> tuple[Facts, DataFrame]:
 
 
 def restore_line_breaks(f: Facts) -> tuple[Facts, DataFrame]:
-    """Cells whose raw value has line ends that the text lost get them back; their tables are rendered anew."""
-    nl = lambda c: F.regexp_replace(c, r"\r\n?", "\n")
-    raw = nl(F.coalesce("raw_value", F.lit("")))
-    lost = raw.contains("\n") & (raw != nl(F.coalesce("text", F.lit("")))) & (F.regexp_replace(raw, r"\s+", "") == F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
-    cells = f.cells.withColumn("_lost", lost).withColumn("text", F.when(F.col("_lost"), raw).otherwise(F.col("text")))
-    hit = cells.filter("_lost").select(*KEY).distinct()
-    fresh = anchor_copy(f.grid.join(hit, KEY, "left_semi"), cells).withColumnRenamed("rendered", "_new")
-    t = f.tables.join(hit.withColumn("_hit", F.lit(True)), KEY, "left").join(fresh, KEY, "left").join(f.documents.select("doc_id", F.col("markdown").alias("_doc")), "doc_id", "left")
-    usable = F.col("_hit") & F.col("_new").isNotNull() & (F.coalesce("markdown", F.lit("")) != "") & F.col("_doc").contains(F.col("markdown"))
+    """Text cells whose raw value has line ends that the text lost get them back; their tables are rendered anew.
+
+    Only tables with a grid that are rendered by copying anchors. A table whose block isn't a table block or whose
+    Markdown isn't in the document keeps its cells and is recorded as rejected.
+    """
+    nl = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    raw = nl("raw_value")
+    lost = (F.coalesce("value_type", F.lit("")) == "string") & raw.contains("\n") & (strip(raw) != strip(nl("text")))
+    copied = f.tables.filter("markdown_rendering = 'anchor_copy'").select(*KEY).join(f.grid.select(*KEY).distinct(), KEY, "left_semi")
+    hit = f.cells.filter(lost).select(*KEY).distinct().join(copied, KEY, "left_semi")
+    found = f.cells.join(hit, KEY, "left_semi").withColumn("text", F.when(lost, raw).otherwise(F.col("text")))
+    fresh = anchor_copy(f.grid.join(hit, KEY, "left_semi"), found).withColumnRenamed("rendered", "_new")
+    b = last_blocks(f.blocks, kind="kind", block_md="markdown")
+    t = f.tables.join(hit.withColumn("_hit", F.lit(True)), KEY, "left").join(fresh, KEY, "left").join(f.documents.select("doc_id", F.col("markdown").alias("_doc")), "doc_id", "left").join(b, ["doc_id", "block_id"], "left")
+    old = F.col("block_md")
+    usable = F.col("_hit") & (F.coalesce("_new", F.lit("")) != "") & (F.col("kind") == "table") & (old != "") & F.col("_doc").contains(old)
     t = t.withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    records = record(t.filter("_hit"), "QL-RPR-004", F.col("table_id"), F.col("markdown"), F.col("_new"), F.col("_ok"), F.when(~F.col("_ok"), "table can't be found or rendered"))
+    records = record(t.filter("_hit"), "QL-RPR-004", F.col("table_id"), F.coalesce("block_md", "markdown"), F.col("_new"), F.col("_ok"), F.when(~F.col("_ok"), "table can't be found or rendered"))
     ok = t.filter("_ok")
-    keep = ok.select(*KEY).withColumn("_k", F.lit(True))
-    fixed_cells = cells.join(keep, KEY, "left").withColumn("text", F.when(F.col("_lost") & F.col("_k").isNull(), F.col("text")).otherwise(F.col("text"))).drop("_lost", "_k")
-    docs = fold_replacements(f.documents, ok.select("doc_id", F.struct(F.lit(0), "table_id").alias("ord"), F.col("markdown").alias("old"), F.col("_new").alias("new")))
+    fixed_cells = f.cells.join(ok.select(*KEY).withColumn("_k", F.lit(True)), KEY, "left").withColumn("text", F.when(lost & F.col("_k"), raw).otherwise(F.col("text"))).drop("_k")
+    docs = fold_replacements(f.documents, ok.select("doc_id", F.struct(F.lit(0), "table_id").alias("ord"), old.alias("old"), F.col("_new").alias("new")))
     blocks = f.blocks.join(ok.groupBy("doc_id", "block_id").agg(F.max("_new").alias("_b")), ["doc_id", "block_id"], "left").withColumn("markdown", F.coalesce("_b", "markdown")).drop("_b")
     tables = t.withColumn("markdown", F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("markdown"))).select(*f.tables.columns)
     return Facts(docs, blocks, tables, fixed_cells, f.grid, f.assets, f.artifacts, f.capabilities), records
@@ -157,15 +166,19 @@ def sync_blocks(f: Facts) -> Facts:
     for _, fix in TEXT_REPAIRS:
         md = fix(md)
     blocks = f.blocks.withColumn("markdown", md)
-    b = blocks.groupBy("doc_id", "block_id").agg(F.max("markdown").alias("_b"))
+    b = last_blocks(blocks, _k="kind", _b="markdown").filter("_k = 'table'")
     tables = f.tables.join(b, ["doc_id", "block_id"], "left").withColumn("markdown", F.coalesce("_b", "markdown")).select(*f.tables.columns)
     return Facts(f.documents, blocks, tables, f.cells, f.grid, f.assets, f.artifacts, f.capabilities)
 
 
 def repair_all(f: Facts) -> tuple[Facts, DataFrame]:
+    """All four repairs in order: Markdown, HTML tables, line ends of cells, then blocks and tables in step."""
     docs, records = repair_text(f.documents)
-    fixed = sync_blocks(Facts(docs, f.blocks, f.tables, f.cells, f.grid, f.assets, f.artifacts, f.capabilities))
-    return fixed, with_repair_ids(records)
+    fixed = Facts(docs, f.blocks, f.tables, f.cells, f.grid, f.assets, f.artifacts, f.capabilities)
+    rendered = f.tables.filter("html <> ''").select(*KEY, html_pipe(F.col("html")).alias("pipe"))
+    fixed, converted = html_to_pipe(fixed, rendered)
+    fixed, restored = restore_line_breaks(fixed)
+    return sync_blocks(fixed), with_repair_ids(union(records, converted, restored))
 
 
 def with_repair_ids(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lithoframe.functions.exprs import blank, escape_cell, strip
 from lithoframe.functions.session import materialized
 from lithoframe.operators.content import text
-from lithoframe.operators.model import INFERRED, MANUAL, VERIFIED, WARNING, Facts, Result, issue, observe, union
+from lithoframe.operators.model import INFERRED, MANUAL, VERIFIED, WARNING, Facts, Result, issue, last_blocks, observe, union
 from lithoframe.operators.structure import order_conflicts
 
 KEY = ["doc_id", "table_id"]
@@ -185,7 +185,7 @@ def bindings(f: Facts, inline: bool = True) -> DataFrame:
     a = analysis(f).filter("valid")
     a = a.filter(~external(a)) if inline else a
     cells = identified(f.cells)
-    b = f.blocks.select("doc_id", F.col("block_id"), "source_block_id").dropDuplicates(["doc_id", "block_id"])
+    b = last_blocks(f.blocks, source_block_id="source_block_id")
     t = a.select(*KEY, "block_id", "page_number", "inferred", "row_heads", F.col("bbox").alias("table_bbox")).join(b, ["doc_id", "block_id"], "left")
     d = cells.filter(~F.coalesce("column_header", F.lit(False)) & ~F.coalesce("row_header", F.lit(False))).join(t, KEY).filter(~F.array_contains("row_heads", F.col("start_col")))
     d = d.join(row_keys(a, f.cells), [*KEY, "start_row"]).join(column_paths(a, f.cells).filter("certain and size(path) > 0").withColumnRenamed("c", "start_col"), [*KEY, "start_col"])
@@ -248,7 +248,7 @@ def anchor_copy(grid: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def representation(f: Facts) -> Result:
-    b = f.blocks.select("doc_id", "block_id", "kind", F.col("markdown").alias("block_md")).dropDuplicates(["doc_id", "block_id"])
+    b = last_blocks(f.blocks, kind="kind", block_md="markdown")
     t = f.tables.join(b, ["doc_id", "block_id"], "left").join(f.documents.select("doc_id", F.col("markdown").alias("doc_md")), "doc_id", "left")
     html, md = F.coalesce("html", F.lit("")), F.coalesce("markdown", F.lit(""))
     still = ((html != "") & (blank(md) | F.lower(md).contains("<table"))) | ((html != "") & F.coalesce(F.col("doc_md").contains(F.col("html")), F.lit(False)))
@@ -273,7 +273,7 @@ def adjacent_pairs(f: Facts) -> DataFrame:
     geo = identified(f.cells).filter("column_header and bbox is not null").join(a.filter(F.col("valid") & (width > 0)).select(*KEY, "cols", F.get("bbox", F.lit(0)).alias("left"), width.alias("width")), KEY).withColumn("c", F.explode(F.sequence("start_col", F.col("start_col") + F.col("col_span") - 1)))
     geo = geo.groupBy(*KEY, "cols", "c").agg(F.max_by(F.struct((((F.get("bbox", F.lit(0)) + F.get("bbox", F.lit(2))) / 2 - F.col("left")) / F.col("width")).alias("m"), ((F.get("bbox", F.lit(2)) - F.get("bbox", F.lit(0))) / F.col("width")).alias("w")), F.struct("start_row", "start_col")).alias("g"))
     geo = geo.groupBy(*KEY, "cols").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "g"))), lambda x: x["g"]).alias("geometry"), F.count("*").alias("k")).filter("k = cols").select(*KEY, "geometry")
-    b = f.blocks.select("doc_id", "block_id", "order_index", "source_block_id", F.concat_ws(" ", "text", "markdown").rlike(CONTINUATION).alias("block_hint")).dropDuplicates(["doc_id", "block_id"])
+    b = last_blocks(f.blocks, order_index="order_index", source_block_id="source_block_id", block_hint=F.concat_ws(" ", "text", "markdown").rlike(CONTINUATION))
     t = a.join(b, ["doc_id", "block_id"], "left").join(heads, KEY, "left").join(words, KEY, "left").join(geo, KEY, "left")
     hint = F.coalesce(F.col("caption").rlike(CONTINUATION), F.lit(False)) | F.coalesce("block_hint", F.lit(False)) | F.coalesce("cell_hint", F.lit(False))
     t = t.select("doc_id", F.struct("table_id", "block_id", "page_number", F.col("order_index").alias("ord"), "source_block_id", "num_cols", F.when(F.col("valid"), F.col("headers")).alias("headers"), (F.col("bbox").isNotNull()).alias("boxed"), "geometry", hint.alias("hint")).alias("a"))

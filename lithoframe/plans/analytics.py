@@ -19,13 +19,13 @@ def records(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     t = F.coalesce("text", F.lit(""))
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (d % 7 + 1).cast("int"))
-    tags = audit.scenarios(ext, (d % 11) / 10.0, d % 8, d % 4, d % 130, d % 300, d % 6 == 0, d % 9 == 0, d % 10 == 0, d % 12, F.length(t) >= 10_000)
+    tags = audit.scenarios(ext, (d % 11) / 10.0, d % 8, d % 4, d % 130, d % 300, d % 6 == 0, d % 9 == 0, d % 10 == 0, d % 12, F.length(t) >= 10_000, F.when(d % 29 == 0, 2), F.when(d % 31 == 0, audit.IMAGE_CATEGORY), F.array((d % 5).cast("int"), (d % 6).cast("int"), F.lit(None).cast("int")))
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("Doc"), d.cast("string")).alias("document_key"), F.sha2(t, 256).alias("unique_source"), ext.alias("ext"), tags.alias("scenarios"), (F.length(t) % 9).cast("int").alias("issues"), F.col("source").alias("model"), F.length(t).alias("chars"), d.alias("doc_id"))
 
 
 _L = lambda v: "[" + ", ".join(f"'{a}'" for a in v) + "]"
 RECORD_SQL = f"""r AS (SELECT 'Doc' || doc_id AS document_key, sha256(coalesce(text, '')) AS unique_source, {_L(EXTS)}[doc_id % 7 + 1] AS ext, length(coalesce(text, '')) % 9 AS issues, source AS model, length(coalesce(text, '')) AS chars, doc_id FROM documents),
-rs AS (SELECT *, list_sort(list_filter(['format_' || ext[2:], CASE WHEN ext = '.pdf' THEN CASE WHEN doc_id % 11 >= 8 THEN 'scanned_ocr_pdf' WHEN doc_id % 11 <= 2 THEN 'ordinary_text_pdf' ELSE 'mixed_text_scan_pdf' END END, CASE WHEN doc_id % 8 >= 5 THEN 'image_rich' END, CASE WHEN doc_id % 4 >= 3 OR doc_id % 130 >= 100 THEN 'complex_table' END,
+rs AS (SELECT *, list_sort(list_filter(['format_' || ext[2:], CASE WHEN ext = '.pdf' THEN CASE WHEN doc_id % 11 >= 8 THEN 'scanned_ocr_pdf' WHEN doc_id % 11 <= 2 THEN 'ordinary_text_pdf' ELSE 'mixed_text_scan_pdf' END END, CASE WHEN doc_id % 8 >= 5 OR doc_id % 29 = 0 OR doc_id % 31 = 0 THEN 'image_rich' END, CASE WHEN doc_id % 4 >= 3 OR doc_id % 130 >= 100 OR (doc_id % 5 >= 3 AND doc_id % 6 >= 3) THEN 'complex_table' END,
   CASE WHEN ext IN ('.doc', '.ppt', '.xls') THEN 'legacy_office' END, CASE WHEN doc_id % 300 >= 200 THEN 'very_long_document' END, CASE WHEN doc_id % 6 = 0 THEN 'split_document' END, CASE WHEN doc_id % 9 = 0 THEN 'parser_failure' END, CASE WHEN doc_id % 10 = 0 THEN 'empty_pseudo_success' END, CASE WHEN doc_id % 12 > 0 THEN 'data_uri' END, CASE WHEN chars >= 10000 THEN 'giant_block' END], lambda v: v IS NOT NULL)) AS scenarios FROM r)"""
 
 
@@ -62,6 +62,28 @@ def rating_histogram(spark, sf_dir) -> DataFrame:
     return rated.rollup("model", "ext", "rating").agg(F.count("*").alias("n"))
 
 
+def rated_outputs(spark, sf_dir) -> DataFrame:
+    """SCAL-S18: all seven ratings of every record."""
+    d = F.col("doc_id")
+    r = records(spark, sf_dir).select(
+        "doc_id", "ext", "scenarios", F.when(d % 7 != 3, d % 300).cast("int").alias("source_pages"), (d % 9 != 0).alias("parser_success"), (d % 10 == 0).alias("is_empty"), (d % 4 != 1).alias("proxy_available"), ((d % 101) / 100.0).alias("coverage"),
+        F.when(d % 6 != 5, (d % 97) / 96.0).alias("order_score"), ((d % 40) / 20.0).alias("length_ratio"), F.when(d % 8 != 7, (d % 51) / 50.0).alias("page_coverage"), (d % 3).alias("table_count"), (d % 5).alias("table_cells"), (d % 2).alias("html_tables"), F.when(d % 3 != 0, d % 4).alias("pipe_rows"),
+        (d % 5).alias("references"), (d % 7 - 5).alias("missing_references"), F.lit(0).alias("assets"), (d % 11).alias("pictures"), (d % 4).alias("headings"), F.col("chars").alias("blocks"), "chars",
+    )
+    return audit.capability_ratings(r).select("doc_id", "ratings.*")
+
+
+RATED_SQL = f"""WITH {RECORD_SQL}, x AS (SELECT doc_id, ext, chars, doc_id % 9 = 0 OR doc_id % 10 = 0 AS dead, doc_id % 4 <> 1 AS proxy, (doc_id % 101) / 100.0 AS cov, CASE WHEN doc_id % 6 <> 5 THEN (doc_id % 97) / 96.0 END AS ord, (doc_id % 40) / 20.0 AS len, CASE WHEN doc_id % 8 <> 7 THEN (doc_id % 51) / 50.0 END AS pc,
+  doc_id % 2 + CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 ELSE 0 END AS md, list_contains(scenarios, 'complex_table') AS tab, list_contains(scenarios, 'image_rich') AS img, list_contains(scenarios, 'scanned_ocr_pdf') AS ocr FROM rs)
+SELECT doc_id, CASE WHEN dead THEN 'failed' WHEN NOT proxy THEN 'not_applicable' WHEN cov >= 0.8 AND len BETWEEN 0.6 AND 1.8 THEN 'good' WHEN cov >= 0.3 THEN 'partial' ELSE 'failed' END AS text_fidelity,
+  CASE WHEN dead THEN 'failed' WHEN NOT proxy OR ord IS NULL THEN 'not_applicable' WHEN ord >= 0.95 THEN 'good' WHEN ord >= 0.6 THEN 'partial' ELSE 'failed' END AS reading_order,
+  CASE WHEN ext <> '.pdf' THEN 'not_applicable' WHEN dead THEN 'failed' WHEN doc_id % 7 = 3 THEN 'not_applicable' WHEN pc >= 0.95 THEN 'good' WHEN pc > 0 THEN 'partial' ELSE 'failed' END AS page_traceability,
+  CASE WHEN NOT tab THEN 'not_applicable' WHEN dead THEN 'failed' WHEN doc_id % 5 > 0 AND md > 0 THEN 'good' WHEN doc_id % 3 > 0 OR md > 0 THEN 'partial' ELSE 'failed' END AS table_fidelity,
+  CASE WHEN NOT img THEN 'not_applicable' WHEN dead THEN 'failed' WHEN doc_id % 5 > 0 AND doc_id % 7 = 5 THEN 'good' WHEN doc_id % 5 > 0 OR doc_id % 11 > 0 THEN 'partial' ELSE 'failed' END AS image_fidelity,
+  CASE WHEN dead THEN 'failed' WHEN doc_id % 4 >= 2 THEN 'good' WHEN chars > 0 THEN 'partial' ELSE 'failed' END AS heading_structure,
+  CASE WHEN NOT ocr THEN 'not_applicable' WHEN dead OR chars = 0 THEN 'failed' ELSE 'partial' END AS ocr_quality FROM x"""
+
+
 def overrides(spark, sf_dir) -> DataFrame:
     """JOIN-15: manual ratings replace automatic ones on a three-part key."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_key"), F.col("source").alias("parser"), F.lit("text").alias("capability"), F.when(F.col("doc_id") % 2 == 0, "good").otherwise("partial").alias("rating"))
@@ -254,13 +276,14 @@ def full_text_search(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "scal_s16_scenarios": scenario_tags, "agg_11_group_summary": scenario_groups, "agg_12_model_summary": model_summary, "agg_13_duplicate_outputs": duplicate_outputs, "agg_17_rating_histogram": rating_histogram,
+    "scal_s16_scenarios": scenario_tags, "scal_s18_capability_ratings": rated_outputs, "agg_11_group_summary": scenario_groups, "agg_12_model_summary": model_summary, "agg_13_duplicate_outputs": duplicate_outputs, "agg_17_rating_histogram": rating_histogram,
     "join_15_manual_override": overrides, "rank_01_best_candidate": best_candidate, "scal_s14_text_fidelity": fidelity, "agg_08_markdown_metrics": markdown_metrics, "src_31_markdown_blocks": markdown_blocks,
     "join_03_missing_assets": image_references, "join_02_unpaired_tables": unpaired_tables, "join_08_span_slots": span_slots, "agg_21_row_keys": row_headers, "scal_s10_anchor_copy": anchors,
     "set_04_key_differences": set_operations, "set_06_ordered_distinct": ordered_distinct, "win_08_contiguity": contiguous_pages, "agg_19_coverage": coverage, "agg_10_totals": totals, "agg_18_combinations": combinations,
     "scalar_functions": scalars, "scal_s21_stable_ids": stable_ids, "topk_02_samples": samples, "scal_s13_search": full_text_search,
 }
 ORACLES = {
+    "scal_s18_capability_ratings": RATED_SQL,
     "scal_s16_scenarios": f"WITH {RECORD_SQL} SELECT doc_id, array_to_string(scenarios, ',') AS scenarios FROM rs",
     "agg_11_group_summary": f"WITH {RECORD_SQL}, e AS (SELECT doc_id, ext, issues, unnest(scenarios) AS scenario FROM rs) SELECT ext, scenario, count(DISTINCT doc_id) AS docs, sum(issues)::BIGINT AS issues FROM e GROUP BY GROUPING SETS ((ext), (scenario))",
     "agg_12_model_summary": f"WITH {RECORD_SQL}, q AS (SELECT model, count(chars) AS n, min(chars)::DOUBLE AS min, quantile_cont(chars::DOUBLE, [0.25, 0.5, 0.75]) AS qs, max(chars)::DOUBLE AS max, round(avg(chars), 6) AS mean FROM r GROUP BY model), h AS (SELECT model, string_agg(ext || '=' || c, ';' ORDER BY ext || '=' || c) AS formats FROM (SELECT model, ext, count(*) AS c FROM r GROUP BY ALL) GROUP BY model) SELECT model, n, min, round(qs[1], 6) AS p25, round(qs[2], 6) AS median, round(qs[3], 6) AS p75, max, mean, formats FROM q JOIN h USING (model)",

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithoframe.functions import exprs as x
-from lithoframe.operators import content, delivery, gate, lifecycle, repairs, routing, structure, tables, validation
-from lithoframe.operators.model import ISSUES, Facts
+from lithoframe.operators import audit, content, delivery, gate, lifecycle, repairs, routing, structure, tables, validation
+from lithoframe.operators.model import ISSUES, Facts, last_blocks
 
 
 def heads(spark, rows):
@@ -182,13 +182,53 @@ def test_text_repairs_replay_and_roll_back(spark):
 def test_line_breaks_come_back(spark):
     docs = spark.createDataFrame([("d", "p\n| a b |\n| --- |\nq")], "doc_id string, markdown string")
     b = spark.createDataFrame([("d", "b", "table", "| a b |\n| --- |")], "doc_id string, block_id string, kind string, markdown string")
-    t = spark.createDataFrame([("d", "t", "b", "| a b |\n| --- |")], "doc_id string, table_id string, block_id string, markdown string")
-    c = spark.createDataFrame([("d", "t", "c", 0, 0, 1, 1, "a b", "a\r\nb")], "doc_id string, table_id string, cell_id string, start_row int, start_col int, row_span int, col_span int, text string, raw_value string")
+    t = spark.createDataFrame([("d", "t", "b", "| a b |\n| --- |", "anchor_copy")], "doc_id string, table_id string, block_id string, markdown string, markdown_rendering string")
+    c = spark.createDataFrame([("d", "t", "c", 0, 0, 1, 1, "a b", "a\r\nb", "string")], "doc_id string, table_id string, cell_id string, start_row int, start_col int, row_span int, col_span int, text string, raw_value string, value_type string")
     g = spark.createDataFrame([("d", "t", 0, 0, "origin", "c")], "doc_id string, table_id string, r int, c int, kind string, cell_id string")
     fixed, rec = repairs.restore_line_breaks(Facts(docs, b, t, c, g))
     assert fixed.documents.first().markdown == "p\n| a<br>b |\n| --- |\nq" and rec.first().applied
 
 
+def test_the_block_written_last_counts(spark):
+    rows = [("d", "b", 0, "table", "first"), ("d", "b", 2, "paragraph", "last"), ("d", "b", 1, "table", "middle"), ("d", "x", None, "table", "one")]
+    for order in (rows, rows[::-1]):
+        b = spark.createDataFrame(order, "doc_id string, block_id string, position int, kind string, markdown string")
+        f = Facts(spark.createDataFrame([("d", "m")], "doc_id string, markdown string"), b)
+        assert {tuple(r) for r in last_blocks(f.blocks, kind="kind", md="markdown").collect()} == {("d", "b", "paragraph", "last"), ("d", "x", "table", "one")}
+
+
+def test_all_four_repairs_and_their_rejections(spark):
+    html = "<table><tr><td>a</td></tr></table>"
+    docs = spark.createDataFrame([("d", f"head  \n{html}\n| x y |\n| --- |\n| p | q |\n|---|\nend")], "doc_id string, markdown string")
+    b = spark.createDataFrame([("d", "h", "table", html), ("d", "x", "table", "| x y |\n| --- |"), ("d", "p", "paragraph", "<table></table>")], "doc_id string, block_id string, kind string, markdown string")
+    t = spark.createDataFrame([("d", "th", "h", html, html, None), ("d", "tx", "x", None, "| x y |\n| --- |", "anchor_copy"), ("d", "tp", "p", "<table><tr><td>z</td></tr></table>", "", None)], "doc_id string, table_id string, block_id string, html string, markdown string, markdown_rendering string")
+    c = spark.createDataFrame([("d", "tx", "c", 0, 0, 1, 1, "x y", "x\ny", "string")], "doc_id string, table_id string, cell_id string, start_row int, start_col int, row_span int, col_span int, text string, raw_value string, value_type string")
+    g = spark.createDataFrame([("d", "tx", 0, 0, "origin", "c")], "doc_id string, table_id string, r int, c int, kind string, cell_id string")
+    fixed, rec = repairs.repair_all(Facts(docs, b, t, c, g))
+    assert fixed.documents.first().markdown == "head\n| a |\n| --- |\n| x<br>y |\n| --- |\n| p | q |\n|---|---|\nend"
+    assert {(r.rule_id, r.object_id, r.applied) for r in rec.collect()} == {("QL-RPR-001", "markdown", True), ("QL-RPR-002", "markdown", True), ("QL-RPR-003", "th", True), ("QL-RPR-003", "tp", False), ("QL-RPR-004", "tx", True)}
+    assert {r.table_id: r.markdown for r in fixed.tables.collect()} == {"th": "| a |\n| --- |", "tx": "| x<br>y |\n| --- |", "tp": ""}
+    r = gate.run_quality(Facts(docs, b, t, c, g), repair=repairs.repair_all)
+    assert [x.message for x in r["issues"].filter("category = 'repair_rejected'").collect()] == ["QL-RPR-003 not applied to tp: no table block"]
+
+
+def test_scenarios_and_ratings(spark):
+    src = spark.createDataFrame([(".pdf", 0.9, 1, 2, "other", 1, 5, [1, 3, 3], 250)], "ext string, scanned double, images int, media int, category string, tables int, cells int, detected array<int>, pages int")
+    no = F.lit(False)
+    tags = audit.scenarios(F.col("ext"), F.col("scanned"), F.col("images"), F.col("tables"), F.col("cells"), F.col("pages"), no, no, no, F.lit(0), no, F.col("media"), F.col("category"), F.col("detected"))
+    assert src.select(tags.alias("t")).first().t == ["complex_table", "format_pdf", "image_rich", "scanned_ocr_pdf", "very_long_document"]
+    rec = {"ext": ".pdf", "scenarios": ["complex_table", "image_rich", "scanned_ocr_pdf"], "source_pages": 10, "parser_success": True, "is_empty": False, "proxy_available": True, "coverage": 0.85, "order_score": 0.7, "length_ratio": 2.0, "page_coverage": 0.0,
+           "table_count": 2, "table_cells": 0, "html_tables": 0, "pipe_rows": 0, "references": 2, "missing_references": 1, "assets": 0, "pictures": 0, "headings": 1, "blocks": 3, "chars": 50}
+    ddl = "ext string, scenarios array<string>, source_pages int, parser_success boolean, is_empty boolean, proxy_available boolean, coverage double, order_score double, length_ratio double, page_coverage double, table_count int, table_cells int, html_tables int, pipe_rows int, references int, missing_references int, assets int, pictures int, headings int, blocks int, chars int"
+    rate = lambda **x: audit.capability_ratings(spark.createDataFrame([tuple((rec | x).values())], ddl)).first().ratings.asDict()
+    assert list(rate().values()) == ["partial", "partial", "failed", "partial", "partial", "partial", "partial"]
+    assert set(rate(parser_success=False).values()) == {"failed"}
+    assert list(rate(parser_success=False, ext=".xls", scenarios=[]).values()) == ["failed", "failed", "not_applicable", "not_applicable", "not_applicable", "failed", "not_applicable"]
+    good = rate(length_ratio=1.0, order_score=0.95, page_coverage=0.96, table_cells=3, pipe_rows=1, missing_references=0, headings=2)
+    assert list(good.values()) == ["good"] * 6 + ["partial"]
+    assert list(rate(proxy_available=False, source_pages=None, scenarios=[], blocks=0).values()) == ["not_applicable"] * 5 + ["failed", "not_applicable"]
+
+
 def test_uuid5(spark):
     for key in ("", "block|x|1", "标题|é"):
         got = spark.range(1).select(x.uuid5(F.lit(key)).alias("u")).first().u
