@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithoframe.functions.exprs import blank, escape_cell, strip
-from lithoframe.functions.session import materialized
+from lithoframe.functions.session import dealt, materialized
 from lithoframe.operators.content import text
 from lithoframe.operators.model import INFERRED, MANUAL, VERIFIED, WARNING, Facts, Result, issue, last_blocks, observe, union
 from lithoframe.operators.structure import order_conflicts
@@ -30,43 +30,55 @@ def slots(cells: DataFrame) -> DataFrame:
     return cells.withColumn("r", F.explode(r)).withColumn("c", F.explode(c))
 
 
-def _prefix(flags: Column, start: Column) -> Column:
-    """How many of an array's values from place `start` on are true in a row."""
-    step = lambda a, x: F.struct((a["go"] & x).alias("go"), (a["n"] + (a["go"] & x).cast("int")).alias("n"))
-    return F.aggregate(F.slice(flags, start + 1, F.greatest(F.size(flags) - start, F.lit(0))), F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), step, lambda a: a["n"])
+def _run(rows: Column, start: Column, good) -> Column:
+    """How many rows in a row, from number `start` on, are there and good; rows: structs in the order of start_row, each once."""
+    step = lambda a, x: a + F.when((x["start_row"] == start + a) & F.coalesce(good(x), F.lit(False)), 1).otherwise(0)
+    return F.aggregate(F.coalesce(rows, F.array().cast(ROWS)), F.lit(0), step)
+
+
+def _at(rows: Column, number: Column, field: str) -> Column:
+    """A flag of the row of that number, false where there is none."""
+    return F.exists(F.coalesce(rows, F.array().cast(ROWS)), lambda x: (x["start_row"] == number) & F.coalesce(x[field], F.lit(False)))
+
+
+ROWS = "array<struct<start_row:int,full:boolean,span:boolean,wide:boolean,head:boolean,mark:boolean,filled:bigint,digits:bigint>>"
 
 
 def grid_analysis(tables: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """A row per table: declared size, header rows, title rows, row-header columns, counts of defects, valid."""
+    """A row per table: declared size, header rows, title rows, row-header columns, counts of defects, valid.
+
+    Cells meet their table once and stay dealt out by table: what follows needs no other exchange of cells.
+    """
     cells = identified(cells)
-    per = cells.groupBy(*KEY).agg(
-        F.count("*").alias("n_cells"), F.max(F.col("start_row") + F.col("row_span")).alias("max_row"), F.max(F.col("start_col") + F.col("col_span")).alias("max_col"),
-        (F.count("*") - F.countDistinct("cell_id")).alias("n_duplicate"), F.count_if((F.col("start_row") < 0) | (F.col("start_col") < 0)).alias("n_negative"),
-        F.array_sort(F.collect_set(F.when(F.col("column_header"), F.col("start_row")))).alias("marked"),
+    c = dealt(cells.select(*KEY, "cell_id", "start_row", "start_col", "row_span", "col_span", "column_header", "row_header", blank(F.col("text")).alias("blank"), F.col("text").rlike(r"(?U)\d").alias("digits")), *KEY)
+    t = dealt(tables, *KEY)
+    end_row, end_col = F.col("start_row") + F.col("row_span"), F.col("start_col") + F.col("col_span")
+    # an axis without a declared size reaches as far as its cells, so nothing leaves it
+    cj = c.join(t.select(*KEY, "num_rows", "num_cols"), KEY, "left")
+    per = cj.groupBy(*KEY).agg(
+        F.count("*").alias("n_cells"), F.max(end_row).alias("max_row"), F.max(end_col).alias("max_col"), F.count_if((F.col("start_row") < 0) | (F.col("start_col") < 0)).alias("n_negative"),
+        F.count_if((end_row > F.col("num_rows")) | (end_col > F.col("num_cols"))).alias("n_overflow"), F.array_sort(F.collect_set(F.when(F.col("column_header"), F.col("start_row")))).alias("marked"),
     )
-    t = tables.join(per, KEY, "left").withColumns({"rows": F.coalesce("num_rows", "max_row", F.lit(0)), "cols": F.coalesce("num_cols", "max_col", F.lit(0))})
-    sized = t.select(*KEY, "rows", "cols")
-    over = cells.join(sized, KEY).filter("start_row + row_span > rows or start_col + col_span > cols").groupBy(*KEY).agg(F.count("*").alias("n_overflow"))
-    full = cells.join(sized, KEY).groupBy(*KEY, "start_row").agg(
-        F.bool_or((F.col("start_col") == 0) & (F.col("col_span") == F.col("cols"))).alias("full"), F.bool_or((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("span"),
-        F.bool_or(F.col("col_span") > 1).alias("wide"), F.bool_or(F.coalesce("row_header", F.lit(False))).alias("head"),
-        F.count_if(~blank(F.col("text"))).alias("filled"), F.count_if(F.col("text").rlike(r"(?U)\d")).alias("digits"),
+    ids = c.groupBy(*KEY, "cell_id").agg((F.count("*") - 1).alias("k")).groupBy(*KEY).agg(F.sum("k").alias("n_duplicate"))
+    widest = c.groupBy(*KEY).agg(F.max(end_col).alias("max_col"))
+    by_row = cj.join(widest, KEY).filter("start_row >= 0").groupBy(*KEY, "start_row").agg(
+        F.bool_or((F.col("start_col") == 0) & (F.col("col_span") == F.coalesce("num_cols", "max_col"))).alias("full"), F.bool_or((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("span"),
+        F.bool_or(F.col("col_span") > 1).alias("wide"), F.bool_or(F.coalesce("row_header", F.lit(False))).alias("head"), F.bool_or(F.coalesce("column_header", F.lit(False))).alias("mark"),
+        F.count_if(~F.col("blank")).alias("filled"), F.count_if("digits").alias("digits"),
     )
-    by_row = full.filter("start_row >= 0").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("start_row", F.struct("full", "span", "wide", "head", "filled", "digits")))).alias("row_map"))
-    s = slots(cells).groupBy(*KEY, "r", "c").agg(F.count("*").alias("k"))
+    by_row = by_row.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start_row", "full", "span", "wide", "head", "mark", "filled", "digits"))).alias("by_row"))
+    s = slots(c.select(*KEY, "start_row", "start_col", "row_span", "col_span")).groupBy(*KEY, "r", "c").agg(F.count("*").alias("k"))
     taken = s.groupBy(*KEY).agg(F.sum(F.col("k") - 1).alias("n_conflict"))
-    t = t.join(over, KEY, "left").join(by_row, KEY, "left").join(taken, KEY, "left")
-    rows = F.transform(F.when(F.col("rows") > 0, F.sequence(F.lit(0), F.col("rows") - 1)).otherwise(F.array().cast("array<int>")), lambda r: F.element_at(F.coalesce("row_map", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<full:boolean,span:boolean,wide:boolean,head:boolean,filled:bigint,digits:bigint>>"))), r))
-    t = t.withColumn("by_row", rows)
-    prose = lambda x: F.coalesce((x["filled"] > 0) & (x["digits"] == 0), F.lit(False))
-    t = t.withColumns({
-        "n_marked": _prefix(F.transform("by_row", lambda x, r: F.array_contains(F.coalesce("marked", F.array().cast("array<int>")), r)), F.lit(0)),
-        "n_title": _prefix(F.transform("by_row", lambda x: F.coalesce(x["full"], F.lit(False))), F.lit(0)),
-    })
-    first_wide = F.coalesce(F.get("by_row", F.lit(0))["wide"], F.lit(False))
-    below = _prefix(F.transform("by_row", lambda x: prose(x) & ~F.coalesce(x["head"], F.lit(False))), F.col("n_marked"))
-    anchored = F.coalesce(F.get("by_row", F.col("n_title"))["span"], F.lit(False))
-    spanned = _prefix(F.transform("by_row", lambda x: F.coalesce(x["span"], F.lit(False)) | prose(x)), F.col("n_title"))
+    t = t.join(per, KEY, "left").withColumns({"rows": F.coalesce("num_rows", "max_row", F.lit(0)), "cols": F.coalesce("num_cols", "max_col", F.lit(0))})
+    t = t.join(ids, KEY, "left").join(by_row, KEY, "left").join(taken, KEY, "left")
+    rows = F.col("by_row")
+    prose = lambda x: (x["filled"] > 0) & (x["digits"] == 0)
+    within = F.filter(F.coalesce(rows, F.array().cast(ROWS)), lambda x: x["start_row"] < F.col("rows"))
+    t = t.withColumn("by_row", within).withColumns({"n_marked": _run(rows, F.lit(0), lambda x: x["mark"]), "n_title": _run(rows, F.lit(0), lambda x: x["full"])})
+    first_wide = _at(rows, F.lit(0), "wide")
+    below = _run(rows, F.col("n_marked"), lambda x: prose(x) & ~x["head"])
+    anchored = _at(rows, F.col("n_title"), "span")
+    spanned = _run(rows, F.col("n_title"), lambda x: x["span"] | prose(x))
     some = F.col("n_cells").isNotNull()  # a table without cells has nothing but that defect
     given = some & F.coalesce(F.col("header_rows") > 0, F.lit(False))
     has_marks = F.coalesce(F.size("marked") > 0, F.lit(False))
@@ -85,9 +97,9 @@ def grid_analysis(tables: DataFrame, cells: DataFrame, grid: DataFrame) -> DataF
     })
     t = t.withColumn("inferred", some & ((~given & ~has_marks & (F.size("heads") > 0)) | F.coalesce(F.col("structure_source") == "markdown_pipe_table", F.lit(False))))
     heads = t.select(*KEY, "rows", "cols", "heads", F.greatest(F.coalesce(F.array_max("heads"), zero), zero).alias("last"))
-    tall = cells.filter("row_span > 1").join(heads, KEY).filter(F.expr("array_contains(heads, start_row)") & F.col("start_col").between(0, F.col("cols") - 1)).groupBy(*KEY).agg(F.array_sort(F.collect_set("start_col")).alias("tall"))
+    tall = c.filter("row_span > 1").join(heads, KEY).filter(F.expr("array_contains(heads, start_row)") & F.col("start_col").between(0, F.col("cols") - 1)).groupBy(*KEY).agg(F.array_sort(F.collect_set("start_col")).alias("tall"))
     covered = s.join(heads, KEY).filter("r > last and r < rows and c >= 0 and c < cols").groupBy(*KEY).agg(F.count("*").alias("n_covered"))
-    g = grid.withColumnRenamed("cell_id", "ref").join(cells.select(*KEY, F.col("cell_id").alias("ref"), "start_row", "start_col", "row_span", "col_span"), [*KEY, "ref"], "left")
+    g = grid.withColumnRenamed("cell_id", "ref").join(c.select(*KEY, F.col("cell_id").alias("ref"), "start_row", "start_col", "row_span", "col_span"), [*KEY, "ref"], "left")
     origin = (F.col("start_row") == F.col("r")) & (F.col("start_col") == F.col("c"))
     inside = F.col("r").between(F.col("start_row"), F.col("start_row") + F.col("row_span") - 1) & F.col("c").between(F.col("start_col"), F.col("start_col") + F.col("col_span") - 1)
     refs = g.groupBy(*KEY).agg(F.count_if(~F.coalesce(F.when(F.col("kind") == "origin", origin).otherwise(inside), F.lit(False))).alias("n_bad_slots"), F.countDistinct("r").alias("grid_rows"), F.count("*").alias("grid_slots"), (F.max("c") + 1).alias("grid_cols"))
