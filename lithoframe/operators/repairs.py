@@ -175,6 +175,8 @@ def repair_all(f: Facts) -> tuple[Facts, DataFrame]:
     """All four repairs in order: Markdown, HTML tables, line ends of cells, then blocks and tables in step."""
     docs, records = repair_text(f.documents)
     fixed = Facts(docs, f.blocks, f.tables, f.cells, f.grid, f.assets, f.artifacts, f.capabilities)
+    if f.tables.isEmpty():
+        return sync_blocks(fixed), with_repair_ids(records)
     rendered = f.tables.filter("html <> ''").select(*KEY, html_pipe(F.col("html")).alias("pipe"))
     fixed, converted = html_to_pipe(fixed, rendered)
     fixed, restored = restore_line_breaks(fixed)

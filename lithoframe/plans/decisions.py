@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lithoframe.functions.session import materialized
 from lithoframe.operators import gate, lifecycle, repairs, routing
 from lithoframe.operators.model import RANK, Facts
-from lithoframe.plans.rules import BAD_BOX, EMPTY, TEXT_SQL
+from lithoframe.plans.rules import ALL_RULES_SQL, BAD_BOX, EMPTY, TABLE_GATE_SQL, TEXT_SQL
 from lithoframe.sources.lift import heading_facts, table, table_facts, text_facts
 
 #: the rules whose verdicts the gate query combines (whole documents of lines have no tables)
@@ -221,6 +221,7 @@ SP = "regexp_replace(markdown, '[ \\t]+(\\n|$)', '\\1', 'g')"
 ORACLES = {
     "gate_decision": GATE_SQL, "agg_03_capability_matrix": MATRIX_SQL, "agg_05_pipeline_metrics": METRICS_SQL,
     "agg_02_worst_state": f"SELECT o_custkey::VARCHAR AS doc_id, {_LIST(list(RANK))}[max(o_orderkey % 6) + 1] AS state, string_agg(DISTINCT 'r' || (o_orderkey % 4), ',' ORDER BY 'r' || (o_orderkey % 4)) AS refs FROM orders GROUP BY o_custkey",
+    "rules_all_documents": ALL_RULES_SQL, "rules_tables_gate": TABLE_GATE_SQL,
     "rpr_001_trailing_space": f"WITH {SPACED_SQL} SELECT doc_id, sha256({SP}) AS after, len(list_filter(string_split(markdown, chr(10)), lambda x: regexp_matches(x, '[ \\t]$')))::BIGINT AS lines FROM s",
     "rpr_chain_replay_rollback": f"WITH {SPACED_SQL} SELECT doc_id, ({SP} <> markdown)::INT::BIGINT AS records, 0::BIGINT AS again, CASE WHEN {SP} <> markdown THEN true END AS replays, CASE WHEN {SP} <> markdown THEN true END AS undone FROM s",
     "rpr_aff_affected_blocks": f"WITH {SPACED_SQL} SELECT doc_id, 'QL-RPR-001' AS rule_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(markdown, chr(10))) AS l FROM s) WHERE regexp_matches(l, '[ \\t]$') GROUP BY doc_id",

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from lithoframe.functions import exprs as x
 from lithoframe.operators import audit, content, gate, matching, repairs, routing, structure, tables, validation
-from lithoframe.operators.model import Facts
-from lithoframe.plans.rules import TEXT_SQL, TREE_SQL, digest
+from lithoframe.operators.model import Facts, last_blocks
+from lithoframe.plans.rules import DRIFT_SQL, TEXT_SQL, TREE_SQL, digest
 from lithoframe.sources.lift import TABLE_SQL, heading_facts, table, table_facts, text_facts
 
 
@@ -123,10 +123,12 @@ def positions(spark, sf_dir) -> DataFrame:
 
 
 def ordinals(spark, sf_dir) -> DataFrame:
-    """JOIN-17: nations and suppliers of regions zipped by ordinal where the numbers agree."""
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 15 = 0").select(F.col("c_nationkey").alias("k"), "c_custkey")
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    return matching.paired_by_ordinal(a, b, "k", "c_custkey", "s_suppkey").select("k", "c_custkey", "s_suppkey")
+    """JOIN-17: each customer's orders (structured tables) and closed orders (rendered ones) zipped by ordinal where the numbers agree, with whether dates and prices are equal."""
+    o = table(spark, sf_dir, "orders")
+    a = o.select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("p"))
+    b = o.filter("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("other"), F.col("o_orderdate").alias("d2"), F.col("o_totalprice").alias("p2"))
+    j = matching.paired_by_ordinal(a, b, "k", "o_orderkey", "other")
+    return j.select("k", "o_orderkey", "other", ((F.col("d") == F.col("d2")) & (F.col("p") == F.col("p2"))).alias("equal"))
 
 
 def manifests(spark, sf_dir) -> DataFrame:
@@ -141,7 +143,7 @@ def manifests(spark, sf_dir) -> DataFrame:
 def asset_blocks(spark, sf_dir) -> DataFrame:
     """JOIN-16: the blocks that refer to each asset, as a sorted list."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey").distinct()
-    g = li.groupBy("p_partkey").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("l_orderkey")), 1, 20), lambda v: v.cast("string")), ",").alias("blocks"), F.count("*").alias("n"))
+    g = li.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_orderkey")), lambda v: v.cast("string")), ",").alias("blocks"), F.count("*").alias("n"))
     return table(spark, sf_dir, "part").select("p_partkey").join(g, "p_partkey", "left").select("p_partkey", F.coalesce("blocks", F.lit("")).alias("blocks"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -214,7 +216,7 @@ def numeric(spark, sf_dir) -> DataFrame:
 def reading_order(spark, sf_dir) -> DataFrame:
     """WIN-01 and SORT-01: reading order, no order first."""
     f = text_facts(spark, sf_dir)
-    return structure.ordered(f.blocks.dropDuplicates(["doc_id", "block_id"]).withColumn("order_index", F.when(F.col("page_number") % 2 == 0, F.col("page_number")))).groupBy("doc_id").agg(F.max("rn").cast("long").alias("blocks"), F.count_if(F.col("order_index").isNull() & (F.col("rn") <= 2)).alias("unordered_first"))
+    return structure.ordered(last_blocks(f.blocks, page_number="page_number").withColumn("order_index", F.when(F.col("page_number") % 2 == 0, F.col("page_number")))).groupBy("doc_id").agg(F.max("rn").cast("long").alias("blocks"), F.count_if(F.col("order_index").isNull() & (F.col("rn") <= 2)).alias("unordered_first"))
 
 
 QUERIES = {
@@ -229,9 +231,11 @@ ORACLES = {
     "rpr_002_separators": "SELECT p_partkey, '| a | b | c |' || chr(10) || CASE p_partkey % 4 WHEN 0 THEN '|:-|---|---|' WHEN 1 THEN '|:-|:-|---|' ELSE '|:-|:-|:-|' END || chr(10) || '| ' || p_name || ' |' AS md FROM part",
     "join_06_relations": f"WITH {TREE_SQL} SELECT r.doc_id, from_id, to_id FROM rel r JOIN heads a ON a.block_id = from_id JOIN heads b ON b.block_id = to_id WHERE a.order_index % 4 <> 3 AND b.order_index % 4 <> 3",
     "join_12_positions": "WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, l_linenumber AS source_row FROM lineitem), c AS (SELECT DISTINCT l_orderkey, l_linenumber - 1 AS row FROM lineitem) SELECT c.l_orderkey, c.row, source_row FROM c LEFT JOIN s ON s.l_orderkey = c.l_orderkey AND s.pos = c.row",
-    "join_17_ordinals": "WITH a AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 15 = 0), b AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) SELECT k, c_custkey, s_suppkey FROM a JOIN b USING (k, i, n)",
+    "join_17_ordinals": "WITH a AS (SELECT o_custkey AS k, o_orderkey, o_orderdate AS d, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), b AS (SELECT o_custkey AS k, o_orderkey AS other, o_orderdate AS d2, o_totalprice AS p2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus <> 'O') SELECT k, o_orderkey, other, d = d2 AND p = p2 AS equal FROM a JOIN b USING (k, i, n)",
+    "win_01_reading_order": f"WITH {TEXT_SQL}, b AS (SELECT doc_id, block_id, arg_max(page_number, coalesce(order_index, -1) * 1000000000 + page_number) AS p FROM blocks GROUP BY doc_id, block_id), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN p % 2 = 0 THEN p ELSE -1 END, block_id) AS rn FROM b) SELECT doc_id, max(rn) AS blocks, count(*) FILTER (p % 2 <> 0 AND rn <= 2) AS unordered_first FROM o GROUP BY doc_id",
+    "tbl_008_drift": DRIFT_SQL,
     "join_13_manifests": "WITH m AS (SELECT lower(p_name) AS key, arg_max(p_brand, p_partkey) AS status FROM part WHERE p_partkey % 3 <> 0 GROUP BY lower(p_name)) SELECT p_partkey, coalesce(status, 'unparsed') AS status FROM part LEFT JOIN m ON lower(p_name) = key",
-    "join_16_asset_blocks": "WITH d AS (SELECT DISTINCT l_partkey AS p_partkey, l_orderkey FROM lineitem), g AS (SELECT p_partkey, array_to_string(list(l_orderkey ORDER BY l_orderkey)[1:20], ',') AS blocks, count(*) AS n FROM d GROUP BY p_partkey) SELECT p_partkey, coalesce(blocks, '') AS blocks, coalesce(n, 0) AS n FROM part LEFT JOIN g USING (p_partkey)",
+    "join_16_asset_blocks": "WITH d AS (SELECT DISTINCT l_partkey AS p_partkey, l_orderkey FROM lineitem), g AS (SELECT p_partkey, array_to_string(list(l_orderkey ORDER BY l_orderkey), ',') AS blocks, count(*) AS n FROM d GROUP BY p_partkey) SELECT p_partkey, coalesce(blocks, '') AS blocks, coalesce(n, 0) AS n FROM part LEFT JOIN g USING (p_partkey)",
     "agg_06_review": f"WITH e AS ({EVIDENCE_SQL}) SELECT doc_id, 'table' AS scope, sum(n)::BIGINT AS n, sum(n)::BIGINT AS manual FROM e GROUP BY doc_id",
     "agg_07_replay_rollup": "SELECT source, sum(n)::BIGINT AS docs, string_agg(lang || '=' || n, ';' ORDER BY lang || '=' || n) AS langs FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source",
     "agg_16_corpus_summary": "SELECT lang, count(*) AS docs, sum(length(coalesce(text, '')))::BIGINT AS chars, count(DISTINCT sha256(coalesce(text, ''))) AS different, count(*) FILTER (length(coalesce(text, '')) < 100) AS short FROM documents GROUP BY ROLLUP (lang)",

@@ -129,6 +129,26 @@ SELECT v.doc_id, v.table_id, v.table_id || ':' || b.start_row || '.' || b.start_
 FROM v JOIN body b USING (k) JOIN first f ON f.k = b.k AND f.start_row = b.start_row JOIN head h ON h.k = b.k AND b.start_col >= h.start_col AND b.start_col < h.start_col + h.col_span
 WHERE v.n_heads > 0 AND NOT (b.start_col = 0 AND (v.k % 3 = 0 OR v.k % 8 = 0))"""
 
+PAIR_SQL = f"""{GRID_SQL}, p AS (SELECT a.*, b.k AS k2, b.n AS n2, b.n_rows AS r2, b.n_heads AS h2 FROM g a JOIN tabs ta USING (table_id) JOIN tabs tb ON tb.doc_id = a.doc_id AND tb.page = ta.page + 1 JOIN g b ON b.table_id = tb.table_id),
+v AS (SELECT * FROM p WHERE {VALID} AND {VALID.replace('n_rows', 'r2').replace('n >', 'n2 >').replace('k %', 'k2 %')}),
+w AS (SELECT *, (k % 13 = 0 OR k2 % 13 = 0) AS hint, (CASE WHEN n_heads = 0 THEN 0 WHEN k % 6 = 0 THEN 1 ELSE 2 END) = (CASE WHEN h2 = 0 THEN 0 WHEN k2 % 6 = 0 THEN 1 ELSE 2 END) AS same, n_heads > 0 AND h2 > 0 AS both_heads FROM v)"""
+#: tables have four columns each, so only headers can drift
+DRIFT_SQL = f"WITH {PAIR_SQL} SELECT doc_id, count(*) AS n FROM w WHERE NOT same AND (hint OR both_heads) GROUP BY doc_id"
+#: a binding is closed if its own cell, the row's first cell and the header over its column are canonical
+CLOSED_SQL = BINDING_SQL.replace("SELECT v.doc_id, v.table_id, v.table_id || ':'", "SELECT v.doc_id, v.table_id, b.start_row, b.start_col, h.start_col AS head_col, v.table_id || ':'")
+CLOSED_SQL = f"SELECT doc_id, table_id, count(*) AS n FROM ({CLOSED_SQL}) WHERE (start_row + start_col) % 3 <> 0 AND start_row % 3 <> 0 AND head_col % 3 <> 0 GROUP BY doc_id, table_id"
+INDEX_SQL = f"SELECT state, count(*) AS n FROM ({BINDING_SQL.replace('f.repeated OR v.k % 10 = 0', 'f.repeated')}) GROUP BY state"
+TREE_ISSUES = """SELECT doc_id, 'warning|headings share an order_index|' || count(*) AS x, '' AS at FROM u WHERE conflict GROUP BY doc_id
+UNION ALL SELECT doc_id, 'info|heading levels come from numbers|' || count(*), '' FROM u WHERE rebuild GROUP BY doc_id UNION ALL SELECT doc_id, 'warning|no level: ' || title || '|1', block_id FROM u WHERE level IS NULL
+UNION ALL SELECT doc_id, 'warning|no parent at level ' || level || ': ' || title || '|1', block_id FROM u WHERE orphan UNION ALL SELECT doc_id, 'info|level ' || plevel || ' to ' || level || ': ' || title || '|2', block_id FROM u WHERE prn IS NOT NULL AND level > plevel + 1"""
+#: headings have no tables, boxes, links or citations: order, levels, source ids and the tree are what is left to complain about
+ALL_RULES_SQL = f"""WITH {TREE_SQL}, x AS (SELECT DISTINCT 1 AS r, * FROM ({TREE_ISSUES}) UNION ALL SELECT 2, doc_id, 'no level', '' FROM (SELECT DISTINCT doc_id FROM heads WHERE heading_level IS NULL) UNION ALL SELECT 3, doc_id, 'no number', '' FROM (SELECT DISTINCT doc_id FROM heads WHERE heading_level IS NULL AND numbered IS NULL)
+  UNION ALL SELECT 4, doc_id, 'no source', '' FROM (SELECT DISTINCT doc_id FROM heads WHERE source_block_id IS NULL) UNION ALL SELECT 5, doc_id, order_index::VARCHAR, '' FROM heads GROUP BY doc_id, order_index HAVING count(*) > 1 UNION ALL SELECT DISTINCT 6, doc_id, 'uncertain order', '' FROM heads GROUP BY doc_id, order_index HAVING count(*) > 1),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id) SELECT doc_id, 'pass_with_warnings' AS state, 0::BIGINT AS critical_issues, coalesce(n, 0)::BIGINT AS other_issues FROM (SELECT DISTINCT doc_id FROM heads) LEFT JOIN n USING (doc_id)"""
+#: a table without cells is critical; every table of a document lacks them in one warning; twice taken slots, holes and columns without header count by table and column
+TABLE_GATE_SQL = f"""WITH {GRID_SQL}, d AS (SELECT doc_id, count(*) FILTER (n = 0) AS crit, (count(*) FILTER (n = 0) > 0)::INT + sum(n_conflict) + sum(n_holes) + 4 * count(*) FILTER ({VALID} AND k % 5 <> 0 AND n_heads = 0) AS other FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN crit > 0 THEN 'rejected' ELSE 'pass_with_warnings' END AS state, crit::BIGINT AS critical_issues, other::BIGINT AS other_issues FROM d"""
+
 QUERIES = {
     "cont_001_blocks_exist": rule(text_facts, content.blocks_exist),
     "cont_002_order_index": rule(text_facts, content.order_index),
@@ -167,9 +187,7 @@ ORACLES = {
     "fil_02_evidence_requirements": f"WITH {TEXT_SQL} SELECT d.doc_id, 11::BIGINT AS checks, 6::BIGINT AS not_applicable, CASE WHEN p.doc_id IS NULL THEN 5 ELSE 0 END::BIGINT AS blocked FROM docs d LEFT JOIN (SELECT doc_id FROM caps WHERE name = 'page_bbox') p USING (doc_id)",
     "hdg_001_heading_fields": digest_sql(HEADING_SQL, "(SELECT DISTINCT doc_id FROM heads)", "SELECT doc_id, 'warning|' || count(*) || ' headings have neither level nor number|' || count(*) AS x FROM heads WHERE heading_level IS NULL AND numbered IS NULL GROUP BY doc_id", "CASE WHEN i.doc_id IS NULL THEN 'verified' ELSE 'manual_review_required' END"),
     "hdg_004_heading_tree": f"WITH {TREE_SQL} SELECT * FROM rel",
-    "hdg_004_tree_state": digest_sql(TREE_SQL, "(SELECT doc_id, count(r.doc_id) AS n, count(*) FILTER (r.state = 'verified') AS v, bool_or(r.state = 'manual_review_required') AS m FROM (SELECT DISTINCT doc_id FROM heads) LEFT JOIN rel r USING (doc_id) GROUP BY doc_id)", """SELECT doc_id, 'warning|headings share an order_index|' || count(*) AS x FROM u WHERE conflict GROUP BY doc_id
-UNION ALL SELECT doc_id, 'info|heading levels come from numbers|' || count(*) FROM u WHERE rebuild GROUP BY doc_id UNION ALL SELECT doc_id, 'warning|no level: ' || title || '|1' FROM u WHERE level IS NULL
-UNION ALL SELECT doc_id, 'warning|no parent at level ' || level || ': ' || title || '|1' FROM u WHERE orphan UNION ALL SELECT doc_id, 'info|level ' || plevel || ' to ' || level || ': ' || title || '|2' FROM u WHERE prn IS NOT NULL AND level > plevel + 1""", "CASE WHEN i.issues LIKE '%no parent%' OR i.issues LIKE '%share an%' THEN 'manual_review_required' WHEN n = 0 THEN '' WHEN v = n THEN 'verified' WHEN m THEN 'manual_review_required' ELSE 'inferred' END"),
+    "hdg_004_tree_state": digest_sql(TREE_SQL, "(SELECT doc_id, count(r.doc_id) AS n, count(*) FILTER (r.state = 'verified') AS v, bool_or(r.state = 'manual_review_required') AS m FROM (SELECT DISTINCT doc_id FROM heads) LEFT JOIN rel r USING (doc_id) GROUP BY doc_id)", f"SELECT doc_id, x FROM ({TREE_ISSUES})", "CASE WHEN i.issues LIKE '%no parent%' OR i.issues LIKE '%share an%' THEN 'manual_review_required' WHEN n = 0 THEN '' WHEN v = n THEN 'verified' WHEN m THEN 'manual_review_required' ELSE 'inferred' END"),
     "win_04_section_path": SECTION_SQL,
     "ref_001_reference_index": "WITH n AS (SELECT n_nationkey AS k, n_nationkey::VARCHAR AS doc_id FROM nation), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT doc_id, CASE WHEN s.k IS NOT NULL THEN 'verified' ELSE 'unavailable' END AS state, CASE WHEN s.k IS NULL THEN 'info|a reference heading without entries|0' ELSE '' END AS issues FROM n LEFT JOIN s USING (k)",
     "ref_004_bind_citations": f"WITH {BOUND} SELECT doc_id, block_id AS from_id, entry AS to_id, CASE WHEN source_block_id IS NULL OR enull THEN 'inferred' ELSE 'verified' END AS state, pos || ':' || marker AS marker_key FROM j WHERE bad = 0",
@@ -177,8 +195,5 @@ UNION ALL SELECT doc_id, 'warning|no parent at level ' || level || ': ' || title
     "tbl_001_grid_analysis": f"WITH {GRID_SQL} SELECT doc_id, table_id, n_rows::BIGINT AS n_rows, n_heads::BIGINT AS n_heads, k % 4 IN (2, 3) AND n_heads > 0 AS inferred, n_conflict::BIGINT AS n_conflict, n_holes::BIGINT AS n_holes, 0::BIGINT AS n_overflow, n > 0 AND n_conflict = 0 AND n_holes = 0 AS valid FROM g",
     "tbl_004_column_path": f"WITH {GRID_SQL}, v AS (SELECT * FROM g WHERE {VALID}) SELECT doc_id, table_id, c AS col, CASE WHEN n_heads > 0 THEN (SELECT text FROM head h WHERE h.k = v.k AND v.c >= h.start_col AND v.c < h.start_col + h.col_span) ELSE '' END AS path FROM (SELECT *, unnest(range(4)) AS c FROM v) v",
     "tbl_006_bindings": BINDING_SQL,
-    "tbl_007_continuation": f"""WITH {GRID_SQL}, p AS (SELECT a.*, b.k AS k2, b.n AS n2, b.n_rows AS r2, b.n_heads AS h2 FROM g a JOIN tabs ta USING (table_id) JOIN tabs tb ON tb.doc_id = a.doc_id AND tb.page = ta.page + 1 JOIN g b ON b.table_id = tb.table_id),
-v AS (SELECT * FROM p WHERE {VALID} AND {VALID.replace('n_rows', 'r2').replace('n >', 'n2 >').replace('k %', 'k2 %')})
-SELECT doc_id, 'b' || k AS from_id, 'b' || k2 AS to_id, CASE WHEN same AND hint AND k % 10 <> 0 AND k2 % 10 <> 0 THEN 'verified' ELSE 'manual_review_required' END AS state, k || '->' || k2 AS marker_key
-FROM (SELECT *, (k % 13 = 0 OR k2 % 13 = 0) AS hint, (CASE WHEN n_heads = 0 THEN 0 WHEN k % 6 = 0 THEN 1 ELSE 2 END) = (CASE WHEN h2 = 0 THEN 0 WHEN k2 % 6 = 0 THEN 1 ELSE 2 END) AS same, n_heads > 0 AND h2 > 0 AS both_heads FROM v) WHERE hint OR same OR both_heads""",
+    "tbl_007_continuation": f"WITH {PAIR_SQL} SELECT doc_id, 'b' || k AS from_id, 'b' || k2 AS to_id, CASE WHEN same AND hint AND k % 10 <> 0 AND k2 % 10 <> 0 THEN 'verified' ELSE 'manual_review_required' END AS state, k || '->' || k2 AS marker_key FROM w WHERE hint OR same OR both_heads",
 }
