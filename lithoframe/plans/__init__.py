@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import analytics, decisions, documents, more, rules
+from lithoframe.plans import analytics, decisions, documents, more, packages, payloads, rules
 
-MODULES = [rules, decisions, analytics, documents, more]
+MODULES = [rules, decisions, analytics, documents, more, payloads, packages]
 
 
 def queries() -> dict:
