@@ -32,14 +32,15 @@ def tasks(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each), 1)
 
 
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of at most ARROW_ROWS rows: both sides hold a batch in memory as a whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    """Hand texts to Python in batches of at most ARROW_ROWS rows and about ARROW_BYTES: both sides hold a batch as a whole."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.sub(r"\D", "", str(spark.conf.get(key)))
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
