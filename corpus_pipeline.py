@@ -16,15 +16,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: five-word shingles, a cosine (the similarity that SimHash measures) of 0.8 or more."""
     bounded_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, words=5, percent=80, measure="cosine", recall=0.9)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere go from the texts."""
+    """Passages that occur elsewhere go from the texts: strings of 240 bytes, shorter than 51 words of prose."""
     bounded_batches(spark)
-    return repeats.remove_repeats(docs)
+    return repeats.remove_repeats(docs, length=240)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
