@@ -173,6 +173,31 @@ def test_sharding_of_one_key_and_none(spark, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_equal_texts_share_a_shard_unless_overfull(spark):
+    rows = [(f"id{i}", t) for i, t in enumerate([prose(40) for _ in range(300)])] + [(f"copy{k}-{i}", f"group {k} " + "y" * 200) for k in range(25) for i in range(8)] + [(f"hot{i}", "z" * 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    out = sharding.shard_by_bytes(df, shards=4, ranges=64).collect()
+    assert {r.doc_id for r in out} == {i for i, _ in rows} and len(out) == len(rows)
+    text = dict(rows)
+    of = {}
+    for r in out:
+        of.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for t, s in of.items() if t[0] != "z") and len(of["z" * 300]) > 1
+    total = sum(r.size for r in out)
+    for s in range(4):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r.size for r in own) - total / 4) <= 3 * total / 64
+
+
+def test_samples_are_bounded_at_any_total(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.lit(7), "id").alias("ih"), (F.lit(2500) + F.when(F.col("id") == 0, 10**13).otherwise(0)).cast("long").alias("size"), F.lit(1).cast("long").alias("n"))
+    same_size = keys.withColumn("size", F.lit(2500).cast("long"))
+    assert 800 < len(sharding.draw(same_size, 20_000 * 2500, 1000, 0)) < 1200
+    assert len(sharding.draw(keys, 10**14, 1000, 0)) <= 3  # each with its share of 10^14 bytes, not with the least step of the chance
+    u = [r[0] for r in keys.select(sharding.uniform("h", "ih")).collect()]
+    assert 0 <= min(u) < 0.001 and 0.999 < max(u) < 1
+
+
 # ---- 3
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,6 +328,15 @@ def test_repeats(docs, length, gram, largest):
     same(got, [(i, *w) for (i, _), w in zip(p, brute_repeats([t for _, t in p], length), strict=True)])
 
 
+@pytest.mark.parametrize("largest", [50_000, 2])
+def test_two_lengths_in_one_induction(docs, largest):
+    p = pairs(docs)
+    texts = [t for _, t in p]
+    long, short = brute_repeats(texts, 90), brute_repeats(texts, 50)
+    got = [tuple(r) for r in repeats.repeats_table(docs, 90, 16, largest, also=50).collect()]
+    same(got, [(i, *a, b[1], b[2]) for (i, _), a, b in zip(p, long, short, strict=True)])
+
+
 def test_repeats_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 1 << 10)
     repeats._powers.cache_clear()
@@ -357,6 +391,45 @@ def test_tiff_pages_and_bad_files(spark):
     assert got[:2] == [(1, 0, 64, 5, True), (1, 1, 64, 5, True)] and [g[:2] for g in got[2:]] == [(2, -1), (4, -1)]
 
 
+def hand_made(order, w, h, bits, predictor, data, compression=1, rows=None, samples=1):
+    """A file of one strip, byte by byte."""
+    import struct
+
+    tags = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, compression), (273, 4, 8), (277, 3, samples), (278, 4, rows or h), (279, 4, len(data)), (317, 3, predictor)]
+    head = struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8 + len(data) + len(data) % 2)
+    field = lambda t, k, v: struct.pack(order + "HHI", t, k, 1) + (struct.pack(order + "HH", v, 0) if k == 3 else struct.pack(order + "I", v))
+    return head + data + b"\0" * (len(data) % 2) + struct.pack(order + "H", len(tags)) + b"".join(field(*t) for t in tags) + struct.pack(order + "I", 0)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_sample_sizes_and_predictors(order):
+    (p,) = tiff.read_tiff(hand_made(order, 10, 2, 1, 1, bytes([0b10110000, 0b01000000, 0b00000001, 0b10000000])))
+    assert list(p.pixels) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0]
+    (p,) = tiff.read_tiff(hand_made(order, 3, 1, 4, 1, bytes([0x1F, 0xA0])))
+    assert list(p.pixels) == [1, 15, 10]
+    v = np.array([[5, 70000, 3, 2**32 - 1]], f"{order}u4")
+    steps = np.diff(v.astype("u4"), axis=1, prepend=np.zeros((1, 1), "u4")).astype(f"{order}u4")
+    (p,) = tiff.read_tiff(hand_made(order, 4, 1, 32, 2, steps.tobytes()))
+    assert p.pixels == v.tobytes()
+    f = np.array([[1.5, -2.25, 3e8, 0.0]], ">f4")
+    planes = np.frombuffer(f.tobytes(), np.uint8).reshape(4, 4).T.reshape(-1)  # highest bytes first
+    steps = np.diff(planes, prepend=np.zeros(1, np.uint8)).astype(np.uint8)
+    (p,) = tiff.read_tiff(hand_made(order, 4, 1, 32, 3, steps.tobytes()))
+    assert np.frombuffer(p.pixels, f"{order}f4").tolist() == f[0].tolist()
+
+
+def test_bad_pages_leave_the_others_and_bombs_are_bounded(spark):
+    good = bytearray(tiff.write_tiff(b"q" * 640, tiff.NONE, page_rows=5))
+    at = good.index(bytes([0x03, 0x01, 3, 0]))  # the first page's compression
+    good[at + 8] = 77
+    bomb = hand_made("<", 64, 64, 8, 1, zlib.compress(b"\0" * 50_000_000), 8)
+    wide = hand_made("<", 2**31, 2**31, 8, 1, b"x")
+    df = spark.createDataFrame([(1, good), (2, bytearray(bomb)), (3, bytearray(wide))], "id int, content binary")
+    got = {(r.id, r.page): (r.error, r.pixels) for r in tiff.tiff_pages(df, "content").collect()}
+    assert "compression 77" in got[1, 0][0] and got[1, 1] == (None, b"q" * 320)
+    assert got[2, 0] == (None, b"\0" * 4096) and "more than" in got[3, 0][0]
+
+
 def test_stored_texts(docs, empty):
     want = []
     for i, t in pairs(docs):
@@ -396,6 +469,15 @@ def test_quality_limits_follow_the_group(spark):
     assert all(out[i] for i in range(400)) and not any(out[1000 + i] for i in range(40)) and not any(out[2000 + i] for i in range(5))
 
 
+def test_one_text_has_another_verdict_in_another_group(spark):
+    marked = lambda k: " ".join(w + "#" * (rng.random() < k) for w in prose(100).split())
+    rows = [(i, marked(0.0), "en", "prose", 1) for i in range(200)] + [(1000 + i, marked(rng.random()), "en", "code", 1) for i in range(200)]
+    text = marked(0.5)
+    rows += [(5000, text, "en", "prose", 1), (5001, text, "en", "code", 1)]
+    out = {r.doc_id: r.kept for r in quality.quality_table(spark.createDataFrame(rows, DDL)).collect()}
+    assert not out[5000] and out[5001] and all(out[i] for i in range(200)) and all(out[1000 + i] for i in range(200))
+
+
 def test_sketches_merge_and_bound(spark):
     v = [0, 1, 63, 64, 65, 1000, 123456, 10**12]
     got = [r.b for r in spark.createDataFrame([(x,) for x in v], "v long").select(quality.rounded(F.col("v")).alias("b")).collect()]
@@ -428,16 +510,36 @@ def test_secrets(spark, empty):
     assert secrets.secrets_table(empty).count() == 0
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
-    d = secret_docs(spark)
-    ledger = secrets.update_ledger(d)
-    assert ledger.count() == len({t for _, t in pairs(d)})
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path, monkeypatch):
+    d, path = secret_docs(spark), str(tmp_path / "ledger")
+    texts = {t for _, t in pairs(d)}
+    scanned = []
+    scan = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs: (scanned.append(blobs.count()), scan(blobs))[1])
+    assert secrets.update_ledger(d, path).count() == len(texts)
     more = d.unionByName(spark.createDataFrame([(9, "new " + SECRETS)], "doc_id long, text string"))
-    fresh = secrets.scan_unseen(secrets.addressed(more).select(F.col("__blob").alias("blob"), F.col("__text").alias("text")), ledger)
-    assert fresh.count() == 1
-    old = ledger.withColumn("rule_version", F.lit("0"))
-    assert secrets.scan_unseen(secrets.addressed(d).select(F.col("__blob").alias("blob"), F.col("__text").alias("text")), old).count() == ledger.count()
-    assert {r.doc_id: r.spans for r in secrets.find_secrets(more, ledger).collect()}[9][0].start == 4
+    out = {r.doc_id: r.spans for r in secrets.find_secrets(more, path).collect()}
+    assert out[9][0].start == 4 and {r.doc_id: r.spans for r in secrets.find_secrets(more, path).collect()} == out
+    assert scanned == [len(texts), 1, 0]
+    monkeypatch.setattr(secrets, "RULE_VERSION", "2")  # other rules: every pair is unseen again
+    assert secrets.update_ledger(more, path).count() == len(texts) + 1 and scanned[3] == len(texts) + 1
+    assert spark.read.parquet(path).groupBy("blob", "rule_version").count().count() == 2 * len(texts) + 2
+
+
+def test_query_reads_the_sessions_ledger(spark, tmp_path):
+    d, path = secret_docs(spark), str(tmp_path / "kept")
+    spark.conf.set(secrets.LEDGER, path)
+    try:
+        first = sorted(map(str, secrets.secrets_table(d).collect()))
+        n = spark.read.parquet(path).count()
+        assert sorted(map(str, secrets.secrets_table(d).collect())) == first and spark.read.parquet(path).count() == n
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
+def test_equal_rows_are_scanned_as_one(spark):
+    d = spark.createDataFrame([(1, SECRETS), (1, SECRETS), (None, SECRETS), (None, SECRETS)], "doc_id long, text string")
+    assert {r.spans for r in secrets.secrets_table(d).collect()} == {brute_spans(SECRETS)}
 
 
 def test_redaction(spark):
@@ -461,12 +563,68 @@ def test_licenses(spark, empty):
     assert licenses.license_table(licenses.document_paths(empty)).count() == 0
 
 
+def brute_score(s, ids):
+    """Every window of every template, without the bounds."""
+    best = 0
+    for i, n in enumerate(s.sizes):
+        n = min(n, len(ids))
+        best = max([best, *[round(1000 * s.score(ids[a : a + n], i)) for a in range(len(ids) - n + 1)]])
+    return best if best >= 750 else 0
+
+
 def test_strong_terms_lose_no_match():
-    s = licenses.scanner(0.75, 4)
+    s = licenses.scanner(0.75)
     for name, text in licenses.TEMPLATES:
         assert s.scan(prose(20) + "\n" + text + "\n" + prose(20))[0] == name
-    # brute force: every window of lines scored without the filter
     for _ in range(30):
-        lines = [rng.choice([prose(5), *[x for _, x in licenses.TEMPLATES]])[: rng.randrange(10, 90)] for _ in range(6)]
-        best = max((round(1000 * s.score(licenses.TERM.findall(" ".join(lines[a:b]).lower()))[0]) for a in range(6) for b in range(a + 1, min(6, a + 4) + 1)), default=0)
-        assert (s.scan("\n".join(lines))[1] or 0) == (best if best >= 750 else 0)
+        text = "\n".join(rng.choice([prose(5), *[x for _, x in licenses.TEMPLATES]])[rng.randrange(3) : rng.randrange(10, 90)] for _ in range(6))
+        ids = [s.at.get(t, 0) for t in licenses.TERM.findall(text.lower())]
+        assert (s.scan(text)[1] or 0) == brute_score(s, ids)
+
+
+def test_statements_within_long_lines_and_wrapped_ones():
+    s = licenses.scanner(0.75)
+    line = prose(15) + " This work is licensed under the GNU General Public License, version 3. " + prose(20)
+    assert s.scan(line)[0] == "GPL-3.0"
+    wrapped = "\n * ".join(dict(licenses.STATEMENTS)["MPL-2.0"].split())
+    assert s.scan(prose(5) + "\n * " + wrapped + "\n" + prose(30))[0] == "MPL-2.0"
+    assert s.scan("# SPDX-License-Identifier: GPL-2.0-or-later\n" + prose(40))[:2] == ("GPL-2.0", 1000)
+    assert s.scan("x = 1  # spdx-license-identifier: Apache-2.0")[0] == "Apache-2.0"
+    assert s.scan("we ran the program under the general version of the software") == (None, None, False, 0.0)
+
+
+@pytest.mark.parametrize(("name", "words"), [("GPL-3.0", "GNU General"), ("LGPL-3.0", "GNU Lesser General"), ("AGPL-3.0", "GNU Affero General")])
+def test_variants_of_a_header_are_told_apart(name, words):
+    header = f"""/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the {words} Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * {words} Public License for more details. */"""
+    got = licenses.scanner(0.75).scan(header + "\n" + prose(400))
+    assert got[0] == name and not got[2] and got[3] < 0.3
+    old = header.replace("either version 3", "either version 2").replace("software:", "software;")
+    if name == "GPL-3.0":
+        assert licenses.scanner(0.75).scan(old)[0] == "GPL-2.0"
+    if name == "LGPL-3.0":
+        assert licenses.scanner(0.75).scan(old.replace("version 2", "version 2.1"))[0] == "LGPL-2.1"
+
+
+def test_whole_license_files(spark):
+    bodies, heads = dict(licenses.BODIES), dict(licenses.HEADS)
+    files = {
+        "mit": ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2019 Some One <one@example.org>\n\n" + bodies["MIT"]),
+        "two": ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, A Group\nAll rights reserved.\n\n" + bodies["BSD-2-Clause"]),
+        "three": ("BSD-3-Clause", "Copyright (c) 2020, A Group\n" + bodies["BSD-3-Clause"]),
+        "isc": ("ISC", "ISC License\n\nCopyright 2021 Somebody\n\n" + bodies["ISC"]),
+        **{k.lower(): (k, "  " + heads[k] + "\n" + prose(2500)) for k in heads},
+    }
+    rows = [(f"{d}/LICENSE", t) for d, (_, t) in files.items()] + [(f"{d}/src/a.py", prose(30)) for d in files]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    out = {r.path: r for r in licenses.license_table(df).collect()}
+    for d, (name, _) in files.items():
+        assert out[f"{d}/LICENSE"].own_license == name and out[f"{d}/LICENSE"].is_license_file, d
+        assert out[f"{d}/src/a.py"].license == name and out[f"{d}/src/a.py"].inherited_from == d
