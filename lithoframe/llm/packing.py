@@ -18,6 +18,7 @@ empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -34,23 +35,30 @@ from lithoframe.llm.bpe import read_ranks
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@lru_cache(4)
+def tokenizer(path: str):
+    """Loaded where a text needs it: a worker that never meets an added token keeps the ranks alone."""
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
 class Tokens:
     """Ids of texts by a vocabulary file, and which ids end a sentence."""
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        import tokenizers
-
-        tok = tokenizers.Tokenizer.from_file(path)
         if ranks_path:  # the same vocabulary as ranks gives the same ids several times as fast
             import tiktoken
 
             enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-            added = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}  # tokens that the ranks don't have
+            with open(path, encoding="utf-8") as f:
+                added = {t["id"]: t["content"] for t in json.load(f).get("added_tokens", [])}  # tokens that the ranks don't have
             find = re.compile("|".join(map(re.escape, added.values())) or "(?!)").search
-            self.encode = lambda t: tok.encode(t, add_special_tokens=False).ids if find(t) else enc.encode_ordinary(t)
+            self.encode = lambda t: tokenizer(path).encode(t, add_special_tokens=False).ids if find(t) else enc.encode_ordinary(t)
             texts = [enc.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in range(enc.max_token_value + 1)]
             texts += [added.get(i, "") for i in range(len(texts), max(added, default=-1) + 1)]
         else:
+            tok = tokenizer(path)
             self.encode = lambda t: tok.encode(t, add_special_tokens=False).ids
             texts = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
         self.ends = np.array([t.rstrip(" ")[-1:] in tuple(".!?\n") and bool(t.strip(" ")) for t in texts])
