@@ -7,6 +7,8 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,21 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str = "n") -> DataFrame:
+    """df with the place of each row among those of its key, from 1, by order (distinct within a key).
+
+    Rows are dealt out by ranges of (key, order), so that one very frequent key is spread over many tasks; a place is the
+    rank within the range plus the key's rows in earlier ranges. The ranges are written first, so that they hold still.
+    """
+    r = materialized(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    counts = r.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), before.alias("_before"))  # a row for each key and range
+    j = r.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    return j.withColumn(name, (F.col("_before") + own).cast("int")).drop("_part", "_key", "_p", "_before")
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt out by keys and kept: aggregations and joins on them, or on more columns, need no exchange.
 

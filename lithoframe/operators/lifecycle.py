@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lithoframe.functions.session import numbered
 
 EVENTS = "kind string, source_id string, path string, previous_path string, sha256 string"
 STATE = "source_id string, path string, sha256 string, state string"
@@ -23,8 +24,9 @@ def reconcile(state: DataFrame, snapshot: DataFrame) -> DataFrame:
     kind = F.when((F.col("old_sha") == F.col("sha256")) & (F.col("state") == "active"), "unchanged").when(F.col("state") == "parse_failed", "retry").otherwise("modified")
     none = F.lit(None).cast("string")
     same = both.select(kind.alias("kind"), "source_id", "path", none.alias("previous_path"), "sha256")
-    gone = j.filter("path is null").select("source_id", "old_path", "old_sha").withColumn("n", F.row_number().over(Window.partitionBy("old_sha").orderBy("old_path")))
-    new = j.filter("old_path is null").select("path", "sha256").withColumn("n", F.row_number().over(Window.partitionBy("sha256").orderBy("path")))
+    gone = j.filter("path is null").select("source_id", "old_path", "old_sha")
+    gone = numbered(gone, "old_sha", "old_path")  # empty files share one content
+    new = numbered(j.filter("old_path is null").select("path", "sha256"), "sha256", "path")
     m = new.join(gone, (new["sha256"] == gone["old_sha"]) & (new["n"] == gone["n"]), "full_outer")
     kind = F.when(F.col("path").isNull(), "deleted").when(F.col("old_path").isNull(), "added").otherwise("moved")
     fresh = F.concat(F.lit("src_"), F.substring(F.sha2(F.concat_ws("|", "path", "sha256"), 256), 1, 16))

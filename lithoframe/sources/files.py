@@ -35,7 +35,7 @@ def snapshot(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) ->
 PARSED = """document_id string, filename string, source_sha256 string, markdown string,
 blocks array<struct<id:string,source_block_id:string,order_index:int,kind:string,text:string,heading_level:int,markdown:string,anchor:struct<page_number:int,bbox:array<double>,coordinate_system:string,bbox_granularity:string>,metadata:map<string,string>>>,
 tables array<struct<table_id:string,block_id:string,html:string,markdown:string,caption:string,page_number:int,bbox:array<double>,num_rows:int,num_cols:int,header_rows:int,row_header_columns:array<int>,view_scope:string,source_row_count:int,emitted_row_count:int,hidden_row_count:int,parent_table_id:string,parent_cell_id:string,nesting_depth:int,metadata:map<string,string>,
-cells:array<struct<cell_id:string,text:string,raw_value:string,start_row:int,start_col:int,row_span:int,col_span:int,column_header:boolean,row_header:boolean,bbox:array<double>>>,
+cells:array<struct<cell_id:string,text:string,raw_value:string,value_type:string,start_row:int,start_col:int,row_span:int,col_span:int,column_header:boolean,row_header:boolean,bbox:array<double>>>,
 grid:array<array<struct<kind:string,cell_id:string,origin_cell_id:string>>>>>,
 assets array<struct<path:string,sha256:string>>, native_artifacts array<struct<artifact_id:string,sha256:string,required_for_quality:boolean>>,
 capabilities map<string,struct<state:string,reason:string>>"""
@@ -48,8 +48,8 @@ def read_parsed(spark: SparkSession, paths) -> DataFrame:
 def facts_of(parsed: DataFrame) -> Facts:
     """The flat facts of nested documents."""
     key = F.coalesce("source_sha256", "document_id").alias("doc_id")
-    b = parsed.select(key, F.explode("blocks").alias("b")).select("doc_id", F.col("b.id").alias("block_id"), "b.source_block_id", "b.order_index", "b.kind", "b.text", "b.heading_level", "b.markdown", "b.anchor.page_number", "b.anchor.bbox", "b.anchor.coordinate_system", "b.anchor.bbox_granularity", F.coalesce(F.element_at("b.metadata", "reference_label"), F.element_at("b.metadata", "marker")).alias("label"))
-    t = parsed.select(key, F.explode("tables").alias("t")).select("doc_id", "t.*").withColumn("structure_source", F.element_at("metadata", "structure_source"))
+    b = parsed.select(key, F.posexplode("blocks").alias("position", "b")).select("doc_id", "position", F.col("b.id").alias("block_id"), "b.source_block_id", "b.order_index", "b.kind", "b.text", "b.heading_level", "b.markdown", "b.anchor.page_number", "b.anchor.bbox", "b.anchor.coordinate_system", "b.anchor.bbox_granularity", F.coalesce(F.element_at("b.metadata", "reference_label"), F.element_at("b.metadata", "marker")).alias("label"))
+    t = parsed.select(key, F.explode("tables").alias("t")).select("doc_id", "t.*").withColumns({"structure_source": F.element_at("metadata", "structure_source"), "markdown_rendering": F.element_at("metadata", "markdown_rendering")})
     c = t.select("doc_id", "table_id", F.explode("cells").alias("c")).select("doc_id", "table_id", "c.*").withColumns({"row_span": F.coalesce("row_span", F.lit(1)), "col_span": F.coalesce("col_span", F.lit(1))})
     g = t.select("doc_id", "table_id", F.posexplode("grid").alias("r", "row")).select("doc_id", "table_id", "r", F.posexplode("row").alias("c", "s")).select("doc_id", "table_id", "r", "c", "s.kind", F.when(F.col("s.kind") == "origin", F.col("s.cell_id")).otherwise(F.col("s.origin_cell_id")).alias("cell_id"))
     caps = parsed.select(key, F.explode("capabilities").alias("name", "v")).select("doc_id", "name", "v.state", "v.reason")

@@ -14,11 +14,12 @@ from lithoframe.operators.lifecycle import STATE, next_state, reconcile
 
 
 def _last_state(spark: SparkSession, root: str, before: int) -> DataFrame:
-    for n in range(before - 1, -1, -1):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/{n}/_SUCCESS")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return spark.read.schema(STATE).parquet(f"{root}/state/{n}")
-    return spark.createDataFrame([], STATE)
+    """The state after the last finished batch: one listing of the folder of states."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/*/_SUCCESS")
+    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    numbers = [int(x.getPath().getParent().getName()) for x in done]
+    last = max((n for n in numbers if n < before), default=None)
+    return spark.createDataFrame([], STATE) if last is None else spark.read.schema(STATE).parquet(f"{root}/state/{last}")
 
 
 def start(scans: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
