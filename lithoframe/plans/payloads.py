@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithoframe.functions.session import materialized
-from lithoframe.sources import payloads
+from lithoframe.sources import payloads, preflight
 from lithoframe.sources.lift import table
 
 
@@ -161,3 +161,54 @@ UNION ALL SELECT k, {B}, 'table', CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END FROM o W
     "src_07_direct_text": "SELECT doc_id, CASE WHEN ok THEN sha256(coalesce(text, '')) ELSE sha256('') END AS markdown, CASE WHEN NOT ok THEN 'no parser output and no plain text' END AS warning FROM (SELECT *, (doc_id % 3 <> 1 OR doc_id % 2 = 0) AND doc_id % 5 <> 0 AS ok FROM documents)",
     "src_06_supplied": "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS markdown, NULL::VARCHAR AS html, CASE WHEN p_partkey % 3 = 0 THEN '{\"tables\":[]}' END AS payload, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n_files, p_partkey % 2 = 0 OR p_partkey % 3 <> 2 OR p_partkey % 5 = 0 AS given FROM part",
 }
+
+
+# ---- files
+
+
+def office_files(spark, sf_dir) -> DataFrame:
+    """parts as PDF, DOCX, XLSX, legacy and damaged files."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def build(key: int, name: str) -> bytes:
+        kind, n = key % 6, key % 4
+        if kind == 0:
+            return b"%PDF-1.4\n" + b"<< /Type /Page >>\n" * n + b"<< /Type /Pages >>\n" + b"<< /Subtype /Image >>\n" * (key % 3) + (b"(x) Tj" if key % 12 == 0 else b"")
+        if kind == 3:
+            return preflight.OLE + b"rest"
+        if kind in (4, 5):
+            return name.encode()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            if kind == 1:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{preflight.W[1:-1]}"><w:t>{name}</w:t>' + "<w:tbl/>" * n + "</w:document>")
+                z.writestr("word/media/a.png", b"x")
+            else:
+                z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{preflight.S[1:-1]}"><si><t>{name}</t></si></sst>')
+                z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{preflight.S[1:-1]}"><c t="s"><v>0</v></c>' + "<c><v>7</v></c>" * n + "<c/></worksheet>")
+                z.writestr("xl/tables/t1.xml", b"")
+        return out.getvalue()
+
+    def run(keys: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([build(k, n) for k, n in zip(keys.to_pylist(), names.to_pylist(), strict=True)], pa.binary())
+
+    run.__annotations__ = {"keys": pa.Array, "names": pa.Array, "return": pa.Array}
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(*[F.lit(e) for e in (".pdf", ".docx", ".XLSX", ".doc", ".docx", ".txt")]), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k, F.concat("p_name", ext).alias("filename"), F.arrow_udf(run, "binary")(k, F.col("p_name")).alias("content"))
+
+
+def file_facts(spark, sf_dir) -> DataFrame:
+    """SRC-29: what files say of themselves."""
+    p = preflight.preflight(office_files(spark, sf_dir))
+    return p.select("p_partkey", "source_kind", "page_count", "sheet_count", "has_text_layer", "source_text_chars", "source_table_count", "source_cell_count", "source_media_count", "source_image_object_count", "is_corrupt", F.col("warning").isNotNull().alias("warned"))
+
+
+QUERIES["src_29_preflight"] = file_facts
+ORACLES["src_29_preflight"] = """WITH p AS (SELECT p_partkey, p_partkey % 6 AS kind, p_partkey % 4 AS n, length(p_name) AS l FROM part)
+SELECT p_partkey, ['pdf', 'docx', 'xlsx', 'doc', 'docx', 'txt'][kind + 1] AS source_kind, CASE WHEN kind = 0 THEN n END::INT AS page_count, CASE WHEN kind = 2 THEN 1 END AS sheet_count, CASE WHEN kind = 0 THEN p_partkey % 12 = 0 WHEN kind IN (1, 2) THEN true END AS has_text_layer,
+  CASE kind WHEN 1 THEN l WHEN 2 THEN l + 2 * n END AS source_text_chars, CASE kind WHEN 1 THEN n WHEN 2 THEN 1 END::INT AS source_table_count, CASE WHEN kind = 2 THEN n + 1 END::INT AS source_cell_count, CASE kind WHEN 1 THEN 1 WHEN 2 THEN 0 END AS source_media_count,
+  CASE WHEN kind = 0 THEN p_partkey % 3 END::INT AS source_image_object_count, kind = 4 AS is_corrupt, kind IN (3, 4, 5) AS warned FROM p"""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithoframe.operators import packages
-from lithoframe.sources import payloads
+from lithoframe.sources import payloads, preflight
 
 
 def test_a_batch_fails_on_dangling_references_and_rejected_documents(spark):
@@ -51,3 +51,16 @@ def test_native_results_become_facts(spark):
     f = payloads.normalised(native, none)
     assert sorted((r.doc_id, r.kind, r.position) for r in f.blocks.collect()) == [("m", "heading", 1), ("m", "paragraph", 2), ("p", "table", 1)]
     assert f.cells.first().cell_id == "t:r0c0" and f.tables.first().block_id == "x"
+
+
+def test_lines_that_are_missing_or_broken_give_nothing(spark, tmp_path):
+    assert preflight.read_lines(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n{broken\n\n{"a": 2, "b": 3}\n')
+    assert sorted(r.a for r in preflight.read_lines(spark, str(tmp_path / "x.jsonl"), "a int").collect()) == [1, 2]
+
+
+def test_damaged_files_are_findings(spark):
+    for ext in (".pdf", ".docx", ".xlsx", ".doc"):
+        for raw in (b"", b"PK\x03\x04", b"%PDF", b"\xd0\xcf"):
+            assert preflight.examine(ext, raw)["is_corrupt"]
+    assert preflight.examine(".pdf", None) is None and preflight.examine(None, b"x")["source_kind"] == ""
