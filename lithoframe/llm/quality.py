@@ -5,12 +5,13 @@ value, kept exact below 64 and to six leading bits above, so a sketch of parts i
 sketches, in any order. From the sketch of its language and source (of its language, then of all, where
 fewer than `least` documents were seen) each document gets the limits
 
-    90th percentile + spread * max(90th percentile - median, event)     for the upper limits
-    10th percentile - spread * max(median - 10th percentile, event)     for the lower one
+    upper quartile + spread * max(upper quartile - median, step)     for the upper limits
+    lower quartile - spread * max(median - lower quartile, step)     for the lower one
 
 and documents beyond a limit, or that fail the base rule, are rejected. Every document is counted. No limit is
-fixed: `event` is what one occurrence counts in the shortest text that the base rule lets pass (SHORTEST words), so
-that where nine tenths of a group have none of something, a handful of it in a short text is no outlier.
+fixed: `step` is what one occurrence counts in the shortest text that the base rule lets pass (SHORTEST words), so
+that where most of a group have none of something, a handful of it in a short text is no outlier. Quartiles bear up to a
+quarter of a group being junk. No step is smaller than the sketch's bins at the median.
 
 Null texts have no words and fail the base rule; null languages and sources form groups of their own;
 an empty table gives no row; clashing extra columns are left alone.
@@ -81,7 +82,8 @@ def measure(text_col: str = "text") -> Column:
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], names=list(COUNTS))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(F.col(text_col))
+    # as if it weren't deterministic: else the optimiser copies it into the filter, and every text is measured twice
+    return F.arrow_udf(run, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">").asNondeterministic()(F.col(text_col))
 
 
 def value(m: str, counts: Column) -> Column:
@@ -114,10 +116,10 @@ def thresholds(sk: DataFrame, spread: int, least: int) -> DataFrame:
         own = Window.partitionBy(*keys, "measure")
         c = s.withColumns({"cum": F.sum("n").over(own.orderBy("bin")), "total": F.sum("n").over(own)})
 
-        def q(tenths: int) -> Column:
-            return F.min(F.when(F.col("cum") * 10 >= F.col("total") * tenths, F.col("bin")))
+        def q(quarters: int) -> Column:
+            return F.min(F.when(F.col("cum") * 4 >= F.col("total") * quarters, F.col("bin")))
 
-        return c.groupBy(*keys, "measure").agg(q(1).alias("q1"), q(5).alias("q5"), q(9).alias("q9"), F.max("total").alias("total"))
+        return c.groupBy(*keys, "measure").agg(q(1).alias("q1"), q(2).alias("q2"), q(3).alias("q3"), F.max("total").alias("total"))
 
     def event_of() -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, event(m))]), F.col("measure")).cast("long")
@@ -129,10 +131,11 @@ def thresholds(sk: DataFrame, spread: int, least: int) -> DataFrame:
     a, b = limits(sk, ["lang", "source"]).alias("a"), limits(by_lang, ["lang"]).alias("b")
     c = limits(by_lang.groupBy("measure", "bin").agg(F.sum("n").alias("n")), []).alias("c")
     j = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure"))).join(F.broadcast(c), F.col("a.measure") == F.col("c.measure"))  # c: a row per measure
-    pick = {q: F.when(F.col("a.total") >= least, F.col(f"a.{q}")).when(F.col("b.total") >= least, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}")) for q in ("q1", "q5", "q9")}
+    pick = {q: F.when(F.col("a.total") >= least, F.col(f"a.{q}")).when(F.col("b.total") >= least, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}")) for q in ("q1", "q2", "q3")}
     r = j.select("a.lang", "a.source", "a.measure", *[v.alias(k) for k, v in pick.items()])
-    hi = F.col("q9") + spread * F.greatest(event_of(), F.col("q9") - F.col("q5"))
-    lo = F.when(two_sided(), F.col("q1") - spread * F.greatest(event_of(), F.col("q5") - F.col("q1"))).otherwise(F.lit(-1).cast("long"))
+    least_step = F.greatest(event_of(), F.floor(F.col("q2") / 32))  # a sketch tells no finer steps apart
+    hi = F.col("q3") + spread * F.greatest(least_step, F.col("q3") - F.col("q2"))
+    lo = F.when(two_sided(), F.col("q1") - spread * F.greatest(least_step, F.col("q2") - F.col("q1"))).otherwise(F.lit(-1).cast("long"))
     return r.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct(hi.alias("hi"), lo.alias("lo"))))).alias("limits"))
 
 
