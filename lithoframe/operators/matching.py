@@ -65,6 +65,42 @@ def filled(existing: Column, defaults: Column) -> Column:
     return F.map_from_entries(F.concat(F.map_entries(existing), F.map_entries(F.map_filter(defaults, lambda k, v: ~F.array_contains(keys, k)))))
 
 
-def attributed(failed: Column, empty: Column, missing_refs: Column, data_uris: Column, giant: Column, coverage: Column) -> Column:
-    """Codes of an output's problems, the parser's own first."""
-    return F.array_compact(F.array(F.when(failed, "parser_failed"), F.when(~failed & empty, "empty_output"), F.when(missing_refs > 0, "missing_assets"), F.when(data_uris > 0, "data_uri"), F.when(giant, "giant_block"), F.when(coverage < 0.5, "low_coverage")))
+#: fixed values: (type, code) of what an output can lack, in order
+PROBLEMS = (
+    ("parser_problem", "parser_failed"), ("parser_problem", "successful_status_but_empty_content"), ("normalization_problem", "native_tables_not_structured_in_markdown_handoff"), ("normalization_problem", "native_pictures_not_referenced_in_markdown_handoff"),
+    ("normalization_problem", "split_parts_lack_root_merged_structure"), ("quality_rule_gap", "embedded_data_uri_requires_externalization_or_rejection"), ("quality_rule_gap", "missing_local_asset_reference_requires_blocking_rule"),
+)
+#: fixed values: codes of signals that only call for a look
+SIGNALS = ("low_exact_anchor_coverage_proxy", "low_native_page_evidence_coverage")
+
+
+def attributed() -> Column:
+    """array<struct<type, code>> of an output's problems. A failed parser has that one alone.
+
+    Reads parser_success, is_empty, table_count, html_tables, pipe_rows, pictures, references, split, merged, data_uris and
+    missing_references; a missing number counts as none.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ok = yes("parser_success")
+    holds = (~ok, ok & yes("is_empty"), ok & (n("table_count") > 0) & (n("html_tables") == 0) & (n("pipe_rows") == 0), ok & (n("pictures") > 0) & (n("references") == 0), ok & yes("split") & ~yes("merged"), ok & (n("data_uris") > 0), ok & (n("missing_references") > 0))
+    return F.array_compact(F.array(*[F.when(h, F.struct(F.lit(t).alias("type"), F.lit(c).alias("code"))) for h, (t, c) in zip(holds, PROBLEMS, strict=True)]))
+
+
+def signals() -> Column:
+    """Codes that call for a look: few of the source's anchors found (proxy_available, coverage, is_empty), few pages seen (ext, source_pages, page_coverage)."""
+    anchors = F.coalesce(F.col("proxy_available") & (F.col("coverage") < 0.5) & ~F.coalesce("is_empty", F.lit(False)), F.lit(False))
+    pages = F.coalesce((F.col("ext") == ".pdf") & (F.col("source_pages") > 1) & (F.col("page_coverage") < 0.8), F.lit(False))
+    return F.array_compact(F.array(*[F.when(h, F.lit(c)) for h, c in zip((anchors, pages), SIGNALS, strict=True)]))
+
+
+#: fixed values: the columns of a source manifest
+MANIFEST = ("document_key", "document_id", "unique_source_id", "category", "filename", "extension", "source_path", "size_bytes", "sha256", "duplicate_occurrence_count", "duplicate_categories", "duplicate_document_keys", "preflight", "scenarios")
+
+
+def source_manifest(records: DataFrame) -> DataFrame:
+    """records (document_key, category, filename, extension, source_path, size_bytes, sha256, preflight, scenarios) with what
+    shares their content: its id, how often it occurs, in which categories and under which keys."""
+    g = records.groupBy("sha256").agg(F.count("*").alias("duplicate_occurrence_count"), F.array_sort(F.collect_set("category")).alias("duplicate_categories"), F.array_sort(F.collect_set("document_key")).alias("duplicate_document_keys"))
+    j = records.join(g, "sha256").withColumns({"unique_source_id": F.substring("sha256", 1, 16), "document_id": F.substring(F.sha2("document_key", 256), 1, 16)})
+    return j.select(*MANIFEST)

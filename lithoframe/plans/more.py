@@ -200,12 +200,25 @@ def option_maps(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", s(matching.filled(routing.without_secrets(m), d)).alias("filled"), s(o).alias("options"))
 
 
-def attribution(spark, sf_dir) -> DataFrame:
-    """SCAL-S17: codes of the outputs' problems and how often each occurs."""
+def outputs(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     t = F.length(F.coalesce("text", F.lit("")))
-    a = matching.attributed(d % 7 == 0, t < 100, d % 5, d % 3, t > 5000, (d % 10) / 10.0)
-    return table(spark, sf_dir, "documents").select(F.explode(a).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    cols = {"parser_success": d % 7 != 0, "is_empty": t < 100, "table_count": d % 2, "html_tables": F.when(d % 3 == 0, 1), "pipe_rows": d % 5, "pictures": d % 4, "references": d % 3, "split": d % 6 == 0, "merged": d % 4 == 0, "data_uris": t % 3, "missing_references": F.when(d % 11 == 0, 2)}
+    cols |= {"proxy_available": d % 4 != 1, "coverage": F.when(d % 9 != 0, (d % 10) / 10.0), "ext": F.when(d % 2 == 0, ".pdf").otherwise(".doc"), "source_pages": d % 5, "page_coverage": (d % 7) / 6.0}
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", *[v.alias(k) for k, v in cols.items()])
+
+
+def attribution(spark, sf_dir) -> DataFrame:
+    """SCAL-S17: types and codes of the outputs' problems, in order."""
+    codes = F.array_join(F.transform(matching.attributed(), lambda x: F.concat_ws(":", x["type"], x["code"])), ",")
+    return outputs(spark, sf_dir).select("doc_id", codes.alias("problems"), F.array_join(matching.signals(), ",").alias("signals"))
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    """PRJ-07 and AGG-15: the source manifest, with what shares each content."""
+    d = F.col("doc_id").cast("string")
+    o = outputs(spark, sf_dir).select(F.concat(F.lit("Doc"), d).alias("document_key"), F.col("lang").alias("category"), F.concat(d, "ext").alias("filename"), F.col("ext").alias("extension"), F.concat_ws("/", "source", d).alias("source_path"), F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("size_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.to_json(F.struct("source_pages")).alias("preflight"), F.array(F.lit("format")).alias("scenarios"))
+    return matching.source_manifest(o).select("document_key", "document_id", "unique_source_id", "filename", "source_path", "size_bytes", "duplicate_occurrence_count", F.array_join("duplicate_categories", ",").alias("categories"), F.array_join("duplicate_document_keys", ",").alias("keys"), "preflight")
 
 
 def numeric(spark, sf_dir) -> DataFrame:
@@ -222,8 +235,15 @@ def reading_order(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "tbl_010_evidence": evidence, "tbl_003_empty_tables": empty_tables, "tbl_009_representation": representation, "tbl_008_drift": drift, "prov_003_artifacts": artifacts, "asset_002_local_references": local_assets, "rpr_002_separators": separators,
     "join_06_relations": relation_closure, "join_11_sheets": sheets, "join_12_positions": positions, "join_17_ordinals": ordinals, "join_13_manifests": manifests, "join_16_asset_blocks": asset_blocks, "agg_01_duplicates": block_duplicates, "agg_06_review": review,
-    "agg_07_replay_rollup": replay_rollup, "agg_16_corpus_summary": corpus_summary, "agg_22_implied_size": implied_size, "val_03_contracts": contracts, "scal_s25_maps": option_maps, "scal_s17_attribution": attribution, "agg_09_numeric_summary": numeric, "win_01_reading_order": reading_order,
+    "agg_07_replay_rollup": replay_rollup, "agg_16_corpus_summary": corpus_summary, "agg_22_implied_size": implied_size, "val_03_contracts": contracts, "scal_s25_maps": option_maps, "scal_s17_attribution": attribution, "prj_07_source_manifest": manifest, "agg_09_numeric_summary": numeric, "win_01_reading_order": reading_order,
 }
+_P = ["".join((t, ":", c)) for t, c in matching.PROBLEMS]
+ATTRIBUTION_SQL = f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS t, doc_id % 7 <> 0 AS ok FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT ok THEN '{_P[0]}' END, CASE WHEN ok AND t < 100 THEN '{_P[1]}' END, CASE WHEN ok AND doc_id % 2 > 0 AND doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN '{_P[2]}' END, CASE WHEN ok AND doc_id % 4 > 0 AND doc_id % 3 = 0 THEN '{_P[3]}' END, CASE WHEN ok AND doc_id % 6 = 0 AND doc_id % 4 <> 0 THEN '{_P[4]}' END,
+  CASE WHEN ok AND t % 3 > 0 THEN '{_P[5]}' END, CASE WHEN ok AND doc_id % 11 = 0 THEN '{_P[6]}' END], lambda v: v IS NOT NULL), ',') AS problems,
+  concat_ws(',', CASE WHEN doc_id % 4 <> 1 AND doc_id % 9 <> 0 AND doc_id % 10 < 5 AND t >= 100 THEN '{matching.SIGNALS[0]}' END, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 > 1 AND doc_id % 7 < 5 THEN '{matching.SIGNALS[1]}' END) AS signals FROM d"""
+MANIFEST_SQL = """WITH d AS (SELECT *, coalesce(text, '') AS t, CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.doc' END AS ext FROM documents), g AS (SELECT t, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS categories, string_agg(DISTINCT 'Doc' || doc_id, ',' ORDER BY 'Doc' || doc_id) AS keys FROM d GROUP BY t)
+SELECT 'Doc' || doc_id AS document_key, substr(sha256('Doc' || doc_id), 1, 16) AS document_id, substr(sha256(t), 1, 16) AS unique_source_id, doc_id || ext AS filename, source || '/' || doc_id AS source_path, octet_length(encode(t))::INT AS size_bytes, n AS duplicate_occurrence_count, categories, keys, '{"source_pages":' || (doc_id % 5) || '}' AS preflight FROM d JOIN g USING (t)"""
 ORACLES = {
     "tbl_010_evidence": EVIDENCE_SQL, "tbl_009_representation": REPRESENTATION_SQL, "prov_003_artifacts": ARTIFACT_SQL, "join_11_sheets": SHEET_SQL, "agg_01_duplicates": DUPLICATE_SQL,
     "tbl_003_empty_tables": "SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS block_id FROM orders WHERE NOT (o_orderkey % 2 = 0 AND (o_orderkey % 16 = 0 OR o_orderkey % 10 <> 0))",
@@ -242,6 +262,6 @@ ORACLES = {
     "agg_22_implied_size": f"WITH {TABLE_SQL} SELECT table_id, CASE WHEN n = 0 THEN 0 ELSE n + 1 END::BIGINT AS n_rows, CASE WHEN n = 0 THEN 0 ELSE 4 END::BIGINT AS n_cols FROM tabs WHERE num_rows IS NULL",
     "val_03_contracts": "SELECT array_to_string(list_filter([CASE WHEN l_linenumber <> 2 AND (l_extendedprice / 90 > 1000 OR l_extendedprice < 0) THEN 'bbox' END, CASE WHEN l_tax * 15 > 1 THEN 'confidence' END, CASE WHEN l_linenumber - 2 < 1 THEN 'page' END, CASE WHEN l_partkey % 4 = 0 THEN 'path' END, CASE WHEN l_partkey % 3 = 0 THEN 'sha256' END], lambda v: v IS NOT NULL), ',') AS errors, count(*) AS n FROM lineitem GROUP BY 1",
     "scal_s25_maps": "SELECT p_partkey, 'a=' || p_partkey || ',b=y' AS filled, CASE WHEN p_partkey % 2 = 0 THEN 'is_ocr=' || (p_partkey % 3 = 1 OR p_partkey % 10 >= 5)::VARCHAR || ',language=' || CASE WHEN p_partkey % 5 = 0 THEN 'ch' ELSE 'auto' END ELSE 'do_ocr=' || (p_partkey % 3 = 1 OR p_partkey % 10 >= 5)::VARCHAR END AS options FROM part",
-    "scal_s17_attribution": "WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS t FROM documents), c AS (SELECT unnest(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'parser_failed' END, CASE WHEN doc_id % 7 <> 0 AND t < 100 THEN 'empty_output' END, CASE WHEN doc_id % 5 > 0 THEN 'missing_assets' END, CASE WHEN doc_id % 3 > 0 THEN 'data_uri' END, CASE WHEN t > 5000 THEN 'giant_block' END, CASE WHEN doc_id % 10 < 5 THEN 'low_coverage' END], lambda v: v IS NOT NULL)) AS code FROM d) SELECT code, count(*) AS n FROM c GROUP BY code",
+    "scal_s17_attribution": ATTRIBUTION_SQL, "prj_07_source_manifest": MANIFEST_SQL,
     "agg_09_numeric_summary": "WITH v AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber <> 5 THEN l_quantity END AS v FROM lineitem) SELECT l_returnflag, l_linestatus, count(v) AS n, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max, round(avg(v), 6) AS mean FROM v GROUP BY ALL",
 }
