@@ -265,3 +265,39 @@ ORACLES = {
     "scal_s17_attribution": ATTRIBUTION_SQL, "prj_07_source_manifest": MANIFEST_SQL,
     "agg_09_numeric_summary": "WITH v AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber <> 5 THEN l_quantity END AS v FROM lineitem) SELECT l_returnflag, l_linestatus, count(v) AS n, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max, round(avg(v), 6) AS mean FROM v GROUP BY ALL",
 }
+
+
+def invariants(spark, sf_dir) -> DataFrame:
+    """VAL-03: which invariants of routing, capabilities, boxes, pictures, slots and reports orders break."""
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+    cols = {
+        "routing": ({"mode": pick("manual", "automatic"), "requested": pick("a", "b", None), "selected": pick("a", "c", "b", "a"), "allow_fallback": k % 5 == 0, "fallbacks": F.array(pick("a", "x", "y"), F.lit("x"))}, validation.routing_errors),
+        "capability": ({"state": pick("available", "partial", "failed"), "reason": pick("", "why", None, "x")}, validation.capability_errors),
+        "box": ({"bbox": F.when(k % 7 != 0, F.array((k % 11).cast("double"), F.lit(0.0), F.lit(5.0), (k % 1300).cast("double"))), "coordinate_system": pick("normalized_1000", "pixels"), "origin": pick(None, "top_left", "bottom_left")}, validation.thousandth_errors),
+        "visual": ({"status": pick("ready", "skipped", "error", "missing", "pending"), "provenance": pick("p", None), "searchable": k % 3 == 0, "reason": pick(None, "r", ""), "error": pick("e", None, None)}, validation.visual_errors),
+        "slot": ({"kind": pick("origin", "covered", "empty"), "cell_id": pick("c", None), "origin_cell_id": pick("", "o", None, "o")}, validation.slot_errors),
+        "report": ({"state": pick("pass", "reparse_required", "rejected"), "recommendation": pick("parser", None), "critical_false_pass": k % 5 == 1, "document_id": pick("d", "e"), "canonical_id": pick("d", "e", "d"), "report_id": pick("d", "e")}, validation.report_errors),
+    }
+    o = table(spark, sf_dir, "orders").select(k)
+    out = None
+    for name, (fields, errors) in cols.items():
+        e = o.select(k, *[v.alias(c) for c, v in fields.items()]).select(F.lit(name).alias("record"), k, F.explode(errors()).alias("code"))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def _pick(*v) -> str:
+    return f"([{', '.join('NULL' if x is None else repr(x) for x in v)}])[k % {len(v)} + 1]"
+
+
+INVARIANT_SQL = f"""WITH o AS (SELECT o_orderkey AS k FROM orders), r AS (SELECT k, {_pick('manual', 'automatic')} = 'manual' AS m, {_pick('a', 'b', None)} AS req, {_pick('a', 'c', 'b', 'a')} AS sel, {_pick('a', 'x', 'y')} AS fb FROM o),
+b AS (SELECT k, (k % 11)::DOUBLE AS x0, (k % 1300)::DOUBLE AS y1, k % 2 = 0 AND k % 7 <> 0 AS own FROM o), v AS (SELECT k, {_pick('ready', 'skipped', 'error', 'missing', 'pending')} AS st FROM o)
+SELECT 'routing' AS record, k AS o_orderkey, unnest(list_filter([CASE WHEN m AND req IS NULL THEN 'manual_without_choice' END, CASE WHEN m AND req <> sel THEN 'manual_not_followed' END, CASE WHEN m AND k % 5 = 0 THEN 'manual_with_fallback' END, CASE WHEN sel = fb THEN 'selected_as_fallback' END, CASE WHEN fb = 'x' THEN 'repeated_fallback' END], lambda c: c IS NOT NULL)) AS code FROM r
+UNION ALL SELECT 'capability', k, 'missing_reason' FROM o WHERE k % 3 > 0 AND k % 4 IN (0, 2)
+UNION ALL SELECT 'box', k, unnest(list_filter([CASE WHEN own AND y1 > 1000 THEN 'out_of_range' END, CASE WHEN own AND x0 > 5 THEN 'wrong_order' END, CASE WHEN own AND k % 3 = 2 THEN 'wrong_origin' END], lambda c: c IS NOT NULL)) FROM b
+UNION ALL SELECT 'visual', k, unnest(list_filter([CASE WHEN st = 'ready' AND k % 2 = 1 THEN 'ready_without_provenance' END, CASE WHEN st <> 'ready' AND k % 3 = 0 THEN 'searchable_too_early' END, CASE WHEN st IN ('skipped', 'missing') AND k % 3 <> 1 THEN 'missing_reason' END, CASE WHEN st = 'error' AND k % 3 > 0 THEN 'missing_error' END], lambda c: c IS NOT NULL)) FROM v
+UNION ALL SELECT 'slot', k, CASE WHEN k % 3 = 0 THEN 'origin_without_cell' ELSE 'covered_without_origin' END FROM o WHERE (k % 3 = 0 AND k % 2 = 1) OR (k % 3 = 1 AND k % 4 IN (0, 2))
+UNION ALL SELECT 'report', k, unnest(list_filter([CASE WHEN k % 3 = 1 AND k % 2 = 1 THEN 'reparse_without_recommendation' END, CASE WHEN k % 5 = 1 AND k % 3 = 0 THEN 'false_pass' END, CASE WHEN (k % 2 = 0) <> (k % 3 <> 1) THEN 'other_document' END], lambda c: c IS NOT NULL)) FROM o"""
+QUERIES["val_03_invariants"] = invariants
+ORACLES["val_03_invariants"] = INVARIANT_SQL
