@@ -306,3 +306,16 @@ ORACLES = {
     "scalar_functions": SCALAR_SQL,
     "scal_s13_search": f"WITH {TABLE_SQL} SELECT doc_id, table_id, table_id || ':' || start_row || '.0' AS cell_id FROM tabs JOIN body USING (k) WHERE text = 'line 3'",
 }
+
+_QUOTA = sum(n for _, n in audit.BUCKETS)
+#: buckets take their quota, the most troubled contents fill up to 28, formats and many reasons first among 32
+ORACLES["topk_02_samples"] = f"""WITH {RECORD_SQL}, b AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{s}', {n})" for i, (s, n) in enumerate(audit.BUCKETS))}) v(bucket, scenario, quota)),
+x AS (SELECT document_key, unique_source, len(scenarios) AS many, issues, unnest(scenarios) AS scenario FROM rs),
+e AS (SELECT document_key, unique_source, bucket, scenario, row_number() OVER (PARTITION BY bucket ORDER BY many DESC, issues DESC, lower(document_key)) AS rank, quota FROM x JOIN b USING (scenario) QUALIFY rank <= quota),
+o AS (SELECT document_key, unique_source, issues, len(scenarios) AS many FROM rs QUALIFY row_number() OVER (PARTITION BY unique_source ORDER BY issues DESC, len(scenarios) DESC, lower(document_key)) = 1),
+f AS (SELECT document_key, unique_source, {len(audit.BUCKETS)} AS bucket, 'fill' AS scenario, row_number() OVER (ORDER BY issues DESC, many DESC, lower(document_key)) AS rank FROM o QUALIFY rank <= {28 + _QUOTA}),
+u AS (SELECT document_key, unique_source, bucket, scenario, rank FROM e UNION ALL SELECT * FROM f),
+k AS (SELECT unique_source, bucket, scenario, first_value(document_key) OVER w AS key, first_value(bucket) OVER w AS fb, first_value(rank) OVER w AS fr FROM u WINDOW w AS (PARTITION BY unique_source ORDER BY bucket, rank)),
+g AS (SELECT key, fb, fr, coalesce(list_sort(list(DISTINCT scenario) FILTER (bucket < {len(audit.BUCKETS)})), []) AS reasons FROM k GROUP BY unique_source, key, fb, fr),
+n AS (SELECT key, CASE WHEN fb = {len(audit.BUCKETS)} THEN ['anomaly_diversity_fill'] ELSE reasons END AS reasons, fb, row_number() OVER (ORDER BY fb, fr) AS n FROM g)
+SELECT key AS document_key, array_to_string(reasons, ',') AS reasons FROM n WHERE fb < {len(audit.BUCKETS)} OR n <= 28 ORDER BY len(list_filter(reasons, lambda r: r LIKE 'format%')) > 0 DESC, len(reasons) DESC, lower(key) LIMIT 32"""
