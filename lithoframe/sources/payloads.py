@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lithoframe.functions.exprs import coordinate_system
+from lithoframe.functions.exprs import coordinate_system, stable_key, uuid5
 from lithoframe.operators.content import text
 from lithoframe.operators.model import Facts
 from lithoframe.sources import markdown as md
@@ -194,3 +194,9 @@ def supplied(requests: DataFrame) -> DataFrame:
     get = lambda k: F.nullif(F.element_at(o, k), F.lit(""))
     files = F.size(F.filter(F.map_keys(o), lambda k: k.startswith("file:")))
     return requests.select("doc_id", get("markdown").alias("markdown"), get("html").alias("html"), F.when(F.try_parse_json(get("payload")).isNotNull(), get("payload")).alias("payload"), files.alias("n_files"), (get("markdown").isNotNull() | get("html").isNotNull() | get("payload").isNotNull() | (files > 0)).alias("given"))
+
+
+def identified_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of Markdown (doc_id, markdown) with ids that depend on the document and their place alone."""
+    b = md.blocks(docs).withColumn("source_block_id", text("md-", F.col("order_index")))
+    return b.withColumn("block_id", uuid5(stable_key(F.lit("block"), F.col("doc_id"), F.col("source_block_id"), F.col("order_index"))))
