@@ -443,8 +443,10 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80, measure: st
     joined = components(links)  # of roots
     last = rooted(nodes.select("id", "first"), "id").join(joined.withColumnsRenamed({"node": "root_id", "root": "__j"}), "root_id", "left")
     every = last.select("id", "first", F.coalesce("__j", "root_id").alias("root_id"))
-    least = every.groupBy("root_id").agg(F.min("first").alias("least"))
-    grouped = signed.join(every.join(least, "root_id").select("id", "least"), "id")
+    # nodes stay where they are; groups of more than one, however large, become a row each
+    least = every.groupBy("root_id").agg(F.min("first").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("root_id").alias("__g"), "least")
+    own = every.join(few(least), F.col("root_id") == F.col("__g"), "left").select("id", F.when(F.col("__g").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"))
+    grouped = signed.join(own, "id")
     return grouped.select(id_col, F.col("th").alias("text_hash"), F.col("least.i").alias("component_id"), ((F.col(id_col) == F.col("least.i")) & (F.col("th") == F.col("least.h"))).alias("first"))
 
 
