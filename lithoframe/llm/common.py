@@ -113,8 +113,12 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more: what was made of them is stored itself."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them is stored itself.
+
+    Shuffle files that only they needed go when the driver collects its garbage, which else may take half an hour.
+    """
+    spark.sparkContext._jvm.System.gc()
     for t in tables:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.stored_at)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import cut, discard, stored, tasks, text_bytes
+from lithoframe.llm.common import cut, discard, few, stored, tasks, text_bytes
 
 CHUNK = 1 << 19
 MASK64 = (1 << 64) - 1
@@ -349,13 +349,17 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], gram: int, largest
     found = stored(sample_texts(docs, lengths[0], gram))
     # cut, so that both sides of the join are shuffled anew and Spark can split a hot sample's rows
     often = cut(found.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", (F.col("n") > largest).alias("hot")))
-    hits = found.join(often, "h").groupBy("sha").agg(F.collect_set(F.struct("h", "place", "hot")).alias("hits"))
-    texts = docs.groupBy("sha").agg(F.first("raw").alias("raw"), F.count("*").alias("n"))
+    hits = stored(found.join(often, "h").groupBy("sha").agg(F.collect_set(F.struct("h", "place", "hot")).alias("hits")))
+    discard(spark, found)
+    # texts without a repeated sample stay where they are
+    some = docs.join(few(hits.select(F.col("sha").alias("__s"))), F.col("sha") == F.col("__s"), "left_semi")
+    texts = some.groupBy("sha").agg(F.first("raw").alias("raw"), F.count("*").alias("n"))
     held = stored(texts.join(hits, "sha").select("sha", "raw", "n", "hits"))
-    discard(found)
+    discard(spark, hits)
     number = held.agg(F.sum(F.size("hits"))).first()[0] or 0
     ctx = contexts(held, lengths[-1]).repartition(tasks(spark, number, 25_000), "h").sortWithinPartitions("h", "suffix")
     per_row = stored(marked(ctx, lengths))
+    discard(spark)
     if not often.filter("hot").isEmpty():
         hot = stored(hot_windows(held, lengths))
         # one row for each batch and window may carry a part of the number: sum them before the count is judged
