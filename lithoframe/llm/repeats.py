@@ -41,6 +41,7 @@ from lithoframe.llm.common import cut, discard, few, stored, tasks, text_bytes
 
 CHUNK = 1 << 19
 MASK64 = (1 << 64) - 1
+RUNS = "array<struct<len:int,t:int,stop:int>>"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 
 
@@ -288,7 +289,7 @@ def hot_windows(held: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def marked(ctx: DataFrame, lengths: tuple[int, ...], batch: int = 6000) -> DataFrame:
-    """(id, t, stop, len): windows t to stop - 1 of context id repeat. ctx is sorted by h and suffix."""
+    """(id, runs): a row for each context, windows t to stop - 1 of which repeat. ctx is sorted by h and suffix."""
     longest = lengths[-1]
 
     def run(batches):
@@ -318,9 +319,12 @@ def marked(ctx: DataFrame, lengths: tuple[int, ...], batch: int = 6000) -> DataF
             lcp = common_prefix(right, sizes)
             lo, hi, n = (np.array([r[i] for r in rows]) for i in (3, 4, 6))
             found = induce(matrix(rows, 2, max(int(hi.max()), 1)), lo, hi, lcp, n, sizes, lengths)
-            out = [(rows[i][5], t, stop, length) for length, marks in zip(lengths, found, strict=True) for i in np.flatnonzero(marks.any(axis=1)).tolist() for t, stop in runs_of(marks[i])]
-            types = (pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "t", "stop", "len"])
+            runs: dict[int, list[dict]] = {}
+            for length, marks in zip(lengths, found, strict=True):
+                for i in np.flatnonzero(marks.any(axis=1)).tolist():
+                    runs.setdefault(i, []).extend({"len": length, "t": t, "stop": stop} for t, stop in runs_of(marks[i]))
+            kind = pa.list_(pa.struct([("len", pa.int32()), ("t", pa.int32()), ("stop", pa.int32())]))
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][5] for i in runs], pa.binary()), pa.array(list(runs.values()), kind)], names=["id", "runs"])
 
         done, group = [], []  # whole groups so far, the open group
         for b in batches:
@@ -337,7 +341,15 @@ def marked(ctx: DataFrame, lengths: tuple[int, ...], batch: int = 6000) -> DataF
             yield work(done)
         pa.default_memory_pool().release_unused()
 
-    return ctx.mapInArrow(run, "id binary, t int, stop int, len int")
+    return ctx.mapInArrow(run, f"id binary, runs {RUNS}")
+
+
+def hot_runs(windows: DataFrame) -> DataFrame:
+    """(id, runs): the repeated windows (id, t, len) of each context as runs, so that an occurrence meets one row, not its windows."""
+    ts = windows.groupBy("id", "len").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    first, last = F.filter("ts", lambda t: ~F.array_contains("ts", t - 1)), F.filter("ts", lambda t: ~F.array_contains("ts", t + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(F.col("len"), a.alias("t"), (b + 1).alias("stop")))
+    return ts.select("id", runs.alias("runs")).groupBy("id").agg(F.flatten(F.collect_list("runs")).cast(RUNS).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], gram: int, largest: int) -> tuple[DataFrame, DataFrame]:
@@ -364,10 +376,11 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], gram: int, largest
         hot = stored(hot_windows(held, lengths))
         # one row for each batch and window may carry a part of the number: sum them before the count is judged
         twice = hot.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
-        per_row = per_row.union(hot.join(twice, "w", "left_semi").select("id", "t", (F.col("t") + 1).alias("stop"), "len").distinct())
+        per_row = per_row.union(stored(hot_runs(hot.join(twice, "w", "left_semi"))))
     # window t starts t bytes left of x: windows t..stop-1 cover x - (stop - 1) to x - t + length
-    cover = occurrences(held, lengths[-1]).join(per_row, "id").select("sha", F.struct("len", (F.col("x") - F.col("stop") + 1).alias("a"), (F.col("x") - F.col("t") + F.col("len")).alias("b")).alias("s"))
-    return held, cover.groupBy("sha").agg(F.collect_set("s").alias("spans"))
+    span = lambda r: F.struct(r["len"].alias("len"), (F.col("x") - r["stop"] + 1).alias("a"), (F.col("x") - r["t"] + r["len"]).alias("b"))
+    cover = occurrences(held, lengths[-1]).join(per_row, "id").select("sha", F.transform("runs", span).alias("s"))
+    return held, cover.groupBy("sha").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:

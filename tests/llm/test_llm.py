@@ -337,6 +337,14 @@ def test_two_lengths_in_one_induction(docs, largest):
     same(got, [(i, *a, b[1], b[2]) for (i, _), a, b in zip(p, long, short, strict=True)])
 
 
+def test_hot_contexts_give_runs(spark):
+    shared = prose(60).encode()
+    rows = [(bytes([i]), b"%d " % i + shared + b" %d" % i) for i in range(12)]
+    texts = spark.createDataFrame(rows, "sha binary, raw binary")
+    got = [{bytes(r.sha): sorted((s["len"], s["a"], s["b"]) for s in r.spans) for r in repeats.repeated_spans(texts, (50, 90), 16, largest)[1].collect()} for largest in (50_000, 2)]
+    assert got[0] == got[1] and len(got[0]) == 12  # a run for each sample's windows, not a row for each window
+
+
 def test_repeats_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 1 << 10)
     repeats._powers.cache_clear()
