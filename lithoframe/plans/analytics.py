@@ -181,7 +181,7 @@ SLOT_SQL = f"WITH {TABLE_SQL}, s AS (SELECT k, 0 AS r, unnest(range(start_col, s
 def row_headers(spark, sf_dir) -> DataFrame:
     """AGG-21: row keys of valid tables that repeat."""
     f = table_facts(spark, sf_dir)
-    r = tables.row_keys(tables.analysis(f), f.cells)
+    r = tables.row_keys(tables.analysis(f), f.cells, f.buckets)
     return r.filter("repeated").groupBy("doc_id", "table_id", "row_key").agg(F.count("*").alias("n"))
 
 
